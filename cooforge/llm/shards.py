@@ -7,7 +7,8 @@ about the target bytes. Medians are found by distributed histograms: each pass
 sums sizes into ``BINS`` bins of every open node and narrows its interval to the
 bin that holds the median, so the driver sees a bounded table per pass.
 
-Rows that tie on the dimension are split by text checksum, then doc_id, then an
+Copies of a text share a place, the least of their metadata, so that they meet
+in one leaf. Rows that tie on the dimension are split by text checksum, then doc_id, then an
 internal row number. Equal texts stay together where that moves a cut by at most
 ``SLACK`` of a shard; a larger group of copies is split, so that no shard
 depends on one text. Null texts count one byte; null dimensions come first; an
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, numbered, table
 
-BINS, SLACK = 2048, 0.005
+BINS, SLACK = 2048, 0.01
 FIRST, LAST = -(2**62), 2**62
 #: The columns by which rows are told apart, the dimension first.
 ORDER = ["_x", "_crc", "_id", "_tie"]
@@ -46,10 +47,10 @@ def kd_shards(docs: DataFrame, dimensions: list[Column], shards: int | None = No
     spark = docs.sparkSession
     dims = {f"_d{k}": F.coalesce(d.cast("long"), F.lit(FIRST)) for k, d in enumerate(dimensions)}
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = checkpoint(docs.select(
-        F.col("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        *[d.alias(k) for k, d in dims.items()],
-    ).withColumns({"_tie": F.monotonically_increasing_id(), "_node": F.lit(0).cast("long"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "_crc": F.col("text_crc32")}))
+    slim = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_hash"), *[d.alias(k) for k, d in dims.items()])
+    copied = slim.groupBy("_hash", "size").agg(F.count("*").alias("_n"), *[F.min(k).alias(f"_g{k}") for k in dims]).where("_n > 1").drop("_n")
+    slim = slim.join(copied, ["_hash", "size"], "left").select("doc_id", "size", "text_crc32", *[F.coalesce(f"_g{k}", k).alias(k) for k in dims])
+    rows = checkpoint(slim.withColumns({"_tie": F.monotonically_increasing_id(), "_node": F.lit(0).cast("long"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), "_crc": F.col("text_crc32")}))
     total = rows.agg(F.sum("size").alias("bytes"), *[f(k).alias(f"{n}{k}") for k in dims for n, f in (("low", F.min), ("high", F.max))]).first()
     if total["bytes"] is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
