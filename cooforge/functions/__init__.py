@@ -1,0 +1 @@
+"""Column-level functions: combiners, complex numbers, degrees of freedom, cost models."""

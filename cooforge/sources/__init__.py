@@ -1,0 +1 @@
+"""Readers and writers of matrix files, and generated matrices."""

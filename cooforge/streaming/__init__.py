@@ -1,0 +1 @@
+"""Assembly as a stream, an addition of this engine."""
