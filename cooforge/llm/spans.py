@@ -9,10 +9,11 @@ every sentence covered by a later one is removed. Forward and backward runs
 together cover each sentence of any repeated passage of MIN_WORDS words or more.
 
 Counts are combined before the shuffle, so a passage that many documents share
-is spread over the tasks. Null texts stay null; a text that loses every sentence
-becomes empty; its row stays. Rows with a null doc_id count as later than all
-others. Rows that repeat a doc_id are told apart by their content and order in
-their partition, so the first of them stays whole.
+is spread over the tasks. A run that a document repeats is known where it is
+hashed and never joined. Null texts stay null; a text that loses every sentence
+becomes empty; its row stays. Rows with a null doc_id count as one document,
+later than all others, as do rows that repeat a doc_id: among such rows only
+repeats within a row are cut.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, free_name, map_texts, schema_of, table
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
+#: Stands for a null doc_id.
+LAST = 2**63 - 1
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"')\]]*(?=\s)\s*|\n\s*|$)|\n\s*")
 
 
@@ -58,56 +61,69 @@ def runs(parts: list[str], min_sentences: int, min_words: int) -> list[tuple[int
 
 
 def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each run: span (digest), _row, doc_id, first, stop."""
+    """A row for each run: h, g (128 bits of digest), doc_id, place, again (the document had the run before).
+
+    ``place`` holds the first sentence (23 bits), the number of sentences (16)
+    and the row's key (24), so that rows stay small in the shuffles.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row, doc_id, text in zip(batch["_row"], batch["doc_id"], batch["text"]):
-                rows += [(digest, row, doc_id, i, j) for i, j, digest in runs(sentences(text or ""), min_sentences, min_words)]
-            out = pd.DataFrame(rows, columns=["span", "_row", "doc_id", "first", "stop"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return docs.select("_row", F.col("doc_id").cast("long"), "text").mapInPandas(run, "span binary, _row long, doc_id long, first int, stop int")
+            h, place, ids, again = [], [], [], []
+            for key, doc_id, text in zip(batch["_key"], batch["doc_id"], batch["text"]):
+                seen = set()
+                for i, j, digest in runs(sentences(text or ""), min_sentences, min_words):
+                    h.append(digest)
+                    place.append(i << 40 | min(j - i, 0xFFFF) << 24 | key)
+                    ids.append(doc_id)
+                    again.append(digest in seen)
+                    seen.add(digest)
+            halves = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
+            yield pd.DataFrame({"h": halves[:, 0], "g": halves[:, 1], "doc_id": np.array(ids, np.int64), "place": np.array(place, np.int64), "again": np.array(again, bool)})
+
+    known = docs.select("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    return map_texts(known, run, "h long, g long, doc_id long, place long, again boolean")
 
 
 def cut_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents' columns, with text shortened, and _sentences and _removed (how many)."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    copies = rows.groupBy("_row", "doc_id").count().where("count > 1")
-    found = checkpoint(spans(rows, min_sentences, min_words))
-    at = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "_row", "first")
-    firsts = found.groupBy("span").agg(F.min(at).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(firsts, "span").where(at != F.col("origin"))
-    covered = later.groupBy("_row").agg(F.collect_set(F.struct("first", "stop")).alias("_covered"))
+    """The documents' columns, with text shortened, then how many sentences each had and how many are removed."""
+    own, cover, sentence_count, removed_count = (free_name(docs, x) for x in ("_key", "_covered", "_sentences", "_removed"))
+    rows = docs.withColumn(own, F.xxhash64("text").bitwiseAND(0xFFFFFF))
+    found = checkpoint(spans(rows.select(F.col(own).alias("_key"), "doc_id", "text"), min_sentences, min_words))
+    fresh = found.where("NOT again").drop("again")
+    firsts = fresh.groupBy("h", "g").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    later = fresh.join(firsts, ["h", "g"]).where("doc_id > _first").select("doc_id", "place")
+    key = F.col("place").bitwiseAND(0xFFFFFF).alias("_at_key")
+    covered = later.union(found.where("again").select("doc_id", "place")).groupBy(F.col("doc_id").alias("_at"), key)
+    covered = covered.agg(F.collect_set(F.shiftright("place", 24)).alias(cover))
 
     def run(batches):
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, ranges in zip(batch["text"], batch["_covered"]):
+            for text, ranges in zip(batch["text"], batch[cover]):
                 parts = sentences(text or "")
                 gone = np.zeros(len(parts), bool)
                 for r in ranges if ranges is not None else ():
-                    gone[r["first"] : r["stop"]] = True
+                    gone[r >> 16 : (r >> 16) + (r & 0xFFFF)] = True
                 if gone.any():
                     text = "".join(x for x, g in zip(parts, gone) if not g).strip()
                 texts.append(text)
                 counts.append(len(parts))
                 removed.append(int(gone.sum()))
-            yield batch.drop(columns="_covered").assign(text=texts, _sentences=counts, _removed=removed)
+            yield batch.drop(columns=cover).assign(**{"text": texts, sentence_count: counts, removed_count: removed})
 
-    joined = rows.join(covered, "_row", "left").select(*docs.columns, "_covered")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _sentences int, _removed int"
-    return joined.mapInPandas(run, schema)
+    same = (F.coalesce(rows["doc_id"].cast("long"), F.lit(LAST)) == covered["_at"]) & (rows[own] == covered["_at_key"])
+    joined = rows.join(covered, same, "left").select(*[rows[c] for c in docs.columns], covered[cover])
+    return map_texts(joined, run, schema_of(docs, f"`{sentence_count}` int", f"`{removed_count}` int"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages cut and n_chars as it is now."""
     out = cut_repeats(docs)
+    removed = out.columns[-1]
     if "n_chars" in docs.columns:
         length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, length).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, length).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
