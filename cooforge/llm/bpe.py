@@ -24,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_texts, table
 
 #: The white space of Unicode's White_Space property, as a character class's inside.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -58,7 +58,7 @@ def _white_spelled_out(pattern: str) -> str:
 class BytePairCodec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 800_000):
         self.ranks = ranks
         self.bytes_of = {rank: part for part, rank in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -184,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
             yield pd.DataFrame({"doc_id": batch["doc_id"], **out})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema)
 
 
 def op9_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
