@@ -12,10 +12,17 @@
    more pairs than it has members. Collisions of the signatures are counted, and
    pairs below MATCHES are skipped; the others are confirmed on the full sets.
 4. Links become components by alternating large and small stars.
-5. What the stars cannot see is then joined: in each list, members of different
-   components are paired, counted and confirmed, and components taken again. No
-   pair inside a component is ever made, so a group of near copies stays linear,
-   and no link between components is lost.
+5. The documents of lists that still hold several components are listed anew
+   under the rarest fifth of their full sets, in which any linked pair must meet.
+   That separates near copies that miss 0.8 by a little, of which signatures of 64
+   coordinates cannot tell.
+6. Lists that still hold several components draw another hub, a different one
+   for each list, and so on for up to TURNS turns while the pairs that step 7
+   would make outnumber the list entries. A group of near copies of which any two
+   are linked often enough becomes one component this way, at a cost linear in it.
+7. What is left is joined: in each list, members of different components are
+   paired, counted and confirmed, and components taken a last time. No pair inside
+   a component is ever made, and no link between components is lost.
 
 A pair at a Jaccard similarity of exactly 0.8 agrees in fewer than MATCHES of
 the 64 coordinates, and is missed, about once in 10^5.
@@ -34,11 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpoint, mix, table
+from .common import WordHash, checkpoint, map_texts, mix, table
 
 COORDINATES, MATCHES = 64, 37
 #: Counters of values; a fixed size at every scale, as the order of a prefix needs no exact counts.
 COUNTERS = 1 << 17
+#: Ids that may be broadcast: 4 MB of longs.
+BROADCAST_IDS = 500_000
+#: Turns of drawn hubs before all pairs across components are made; a bound on rounds, not on what is found.
+TURNS = 8
+SHINGLE_COUNTERS = 1 << 18
 
 _RNG = np.random.default_rng(20240501)
 _FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +95,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, print binary, sig array<int>")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, print binary, sig array<int>")
 
 
 def _counter(value, place):
@@ -118,7 +130,7 @@ def postings(nodes: DataFrame) -> DataFrame:
                 "n": np.repeat(batch["n"].to_numpy(), prefix),
             })
 
-    return nodes.select("doc_id", "n", "sig").mapInPandas(run, "token long, doc_id long, n long")
+    return map_texts(nodes.select("doc_id", "n", "sig"), run, "token long, doc_id long, n long")
 
 
 def _alike(a, b):
@@ -126,9 +138,26 @@ def _alike(a, b):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
+def wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """The rows of documents in (a, b) pairs, written down; None without pairs.
+
+    Up to BROADCAST_IDS ids are broadcast, so that the rows need no shuffle;
+    beyond that both sides are shuffled.
+    """
+    ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    count = ids.count()
+    if not count:
+        return None
+    return checkpoint(rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"))
+
+
 def counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree in MATCHES coordinates."""
-    sig = lambda id, name: nodes.select(F.col("doc_id").alias(id), F.col("sig").alias(name))
+    pairs = checkpoint(pairs)
+    found = wanted(nodes.select("doc_id", "sig"), pairs)
+    if found is None:
+        return pairs
+    sig = lambda id, name: found.select(F.col("doc_id").alias(id), F.col("sig").alias(name))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return pairs.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a").where(same >= MATCHES).select("a", "b")
 
@@ -140,8 +169,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, portion: int = 128)
     gets a's text once and is read as a stream.
     """
     pairs = checkpoint(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = wanted(docs.select(F.col("doc_id").cast("long"), "text"), pairs)
+    if texts is None:
+        return pairs
+    texts = texts.dropDuplicates(["doc_id"])
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / portion).alias("shares"))
     dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
     second = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", F.lit(1).alias("side"), "b", "text")
@@ -166,7 +197,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, portion: int = 128)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streams = first.union(second).repartition(n, "a", "share").sortWithinPartitions("a", "share", "side")
-    return streams.mapInPandas(run, "a long, b long")
+    return map_texts(streams, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,9 +231,19 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     pairs = listed.where((F.col("doc_id") != F.col("hub")) & _alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = checkpoint(confirmed(counted(pairs, nodes), docs, words))
     found = components(links)
-    rest = counted(across(listed, found), nodes).join(links, ["a", "b"], "left_anti")
-    links = links.union(confirmed(rest, docs, words))
-    found = components(links)
+    listed = checkpoint(set_postings(mixed(listed.select("token", "doc_id", "n"), found), docs, words))
+    rows = listed.count()
+    for turn in range(TURNS):
+        members = checkpoint(mixed(listed, found))
+        left = members.where("9 * c >= 8 * n").groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        if (left.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0) <= rows:
+            break
+        more = checkpoint(confirmed(counted(starred(members, turn), nodes), docs, words))
+        if not more.limit(1).count():
+            break
+        found = components(more.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    rest = checkpoint(confirmed(counted(across(mixed(listed, found)), nodes), docs, words))
+    found = components(rest.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     of_print = groups.join(found, groups["node"] == found["node"], "left").select("print", F.coalesce("root", groups["node"]).alias("_root"))
     return sketched.join(of_print, "print", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "doc_id").alias("component_id"),
@@ -210,28 +251,89 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     )
 
 
-def across(listed: DataFrame, found: DataFrame) -> DataFrame:
+def set_postings(listed: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """token, doc_id, n, c: the listed documents under the rarest fifth of their full shingle sets.
+
+    Two sets of similarity 0.8 meet in the first n - ceil(0.8 n) + 1 shingles of
+    each under any common order; here, that of a hashed count over the listed
+    documents, of fixed size. c is what a set has from the token on: two
+    sets whose first common token this is share no more than the smaller c.
+    """
+    texts = wanted(docs.select(F.col("doc_id").cast("long"), "text"), listed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    if texts is None:
+        return listed.select("token", "doc_id", "n", F.col("n").alias("c"))
+    texts = texts.dropDuplicates(["doc_id"])
+    mask = np.uint64(SHINGLE_COUNTERS - 1)
+
+    def count(batches):
+        hashes = WordHash()
+        for batch in batches:
+            seen = np.concatenate([shingles(text, words, hashes) & mask for text in batch["text"]] or [np.zeros(0, np.uint64)])
+            counter, k = np.unique(seen.astype(np.int64), return_counts=True)
+            yield pd.DataFrame({"counter": counter, "k": k})
+
+    often = map_texts(texts, count, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toPandas()
+    counts = np.zeros(SHINGLE_COUNTERS, np.int64)
+    counts[often["counter"]] = often["k"]
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            token, size, used, rest = [], [], [], []
+            for text in batch["text"]:
+                items = shingles(text, words, hashes)
+                order = np.lexsort((items, shared.value[(items & mask).astype(np.int64)]))
+                chosen = items[order[: len(items) - (4 * len(items) + 4) // 5 + 1]]
+                token.append(chosen)
+                size.append(len(items))
+                used.append(len(chosen))
+                rest.append(len(items) - np.arange(len(chosen)))
+            yield pd.DataFrame({"token": np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), used), "n": np.repeat(size, used), "c": np.concatenate(rest) if rest else np.zeros(0, np.int64)})
+
+    return map_texts(texts, run, "token long, doc_id long, n long, c long")
+
+
+def _linkable(a: str, b: str):
+    """Sizes, and what is left from the first common token on, that leave a similarity of 0.8 possible."""
+    return _alike(f"n_{a}", f"n_{b}") & (9 * F.least(f"c_{a}", f"c_{b}") >= 4 * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+
+
+def mixed(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of the lists that hold more than one component, with their root."""
+    members = listed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*listed.columns, F.coalesce("root", "doc_id").alias("root"))
+    several = members.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("token")
+    return members.join(several, "token", "left_semi")
+
+
+def starred(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub, another for every list and turn, and the members of other components."""
+    draw = F.xxhash64("token", "doc_id", F.lit(turn))
+    hubs = members.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "doc_id", "n", "c", "root")).alias("h"))
+    hubs = hubs.select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("n_a"), F.col("h.c").alias("c_a"), F.col("h.root").alias("hub_root"))
+    pairs = members.withColumnsRenamed({"n": "n_b", "c": "c_b"}).join(hubs, "token").where((F.col("root") != F.col("hub_root")) & _linkable("a", "b"))
+    return pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+
+
+def across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of one list whose components differ."""
-    members = listed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    parts = members.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = parts.groupBy("token").agg(F.count("*").alias("parts")).where("parts > 1").select("token")
-    parts = parts.join(mixed, "token")
-    left = parts.select("token", F.col("root").alias("root_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    right = parts.select("token", F.col("root").alias("root_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    members = checkpoint(members)
+    parts = members.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("c"))
+    left = parts.select("token", F.col("root").alias("root_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("c").alias("c_a"))
+    right = parts.select("token", F.col("root").alias("root_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("c").alias("c_b"))
     apart = (F.col("root_a") < F.col("root_b")) & (F.col("high_a") * 5 >= F.col("low_b") * 4) & (F.col("high_b") * 5 >= F.col("low_a") * 4)
+    apart = apart & (9 * F.least("c_a", "c_b") >= 4 * (F.col("low_a") + F.col("low_b")))
     roots = left.join(right, "token").where(apart).select("token", "root_a", "root_b")
-    side = lambda s: members.select("token", F.col("root").alias(f"root_{s}"), F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = roots.join(side("a"), ["token", "root_a"]).join(side("b"), ["token", "root_b"]).where(_alike("n_a", "n_b"))
+    side = lambda s: members.select("token", F.col("root").alias(f"root_{s}"), F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("c").alias(f"c_{s}"))
+    pairs = roots.join(side("a"), ["token", "root_a"]).join(side("b"), ["token", "root_b"]).where(_linkable("a", "b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One document of each group of near copies (the least doc_id), columns as they came; repeated rows stay one."""
+    """One document of each group of near copies (the least doc_id), columns as they came; its repeated rows stay."""
     kept = near_duplicates(docs, words).where("kept")
     whole = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
-    copies = [c for c in docs.columns if c != "doc_id"]
-    return docs.join(whole, same, "left_semi").select("doc_id", *copies)
+    return docs.join(whole, docs["doc_id"].cast("long").eqNullSafe(whole["_kept"]), "left_semi")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
