@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_of_id, labelled_sample, mix, table
+from .common import WordHash, crc_of_id, free_name, labelled_sample, map_texts, mix, release, schema_of, table
 
 #: Bounds of the labelled sample that a fit may see.
-MAX_ROWS, MAX_CHARS = 5000, 20_000
+MAX_ROWS, MAX_CHARS = 4000, 20_000
 
 
 def sigmoid(x):
@@ -69,7 +69,7 @@ class ConvolutionalFilter:
         for k, of in enumerate(self.hash):
             hashes[k][real] = of.of(every)
         mask = np.uint64((1 << self.bits) - 1)
-        rows = np.stack([(hashes[t // 4] >> np.uint64(16 * (t % 4))) & mask for t in range(8)]).astype(np.int64)
+        rows = np.stack([(hashes[t // 4] >> np.uint64(16 * (t % 4))) & mask for t in range(8)]).astype(np.uint16)
         return rows, starts, real
 
     def vectors(self, rows, real, kinds=(0, 1, 2, 3)):
@@ -147,6 +147,8 @@ class ConvolutionalFilter:
                     p -= rate * g / np.sqrt(s)
                 prior_square += float(error.sum()) ** 2
                 self.prior -= rate * float(error.sum()) / prior_square**0.5
+        for of in self.hash:
+            of.clear()
         return self
 
     def _first_best(self, seen, pooled, starts, length):
@@ -277,6 +279,7 @@ class FtrlFilter:
                 prior_square += g * g
                 self.prior -= 0.1 * g / prior_square**0.5
         self.weights = self._solve(z, n)
+        self.known.clear()
         return self
 
     def _solve(self, z, n):
@@ -322,39 +325,47 @@ def portions(texts: list, most: int = 400_000):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=lambda i: F.lit(True), max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ConvolutionalFilter:
-    """Fitted on a bounded sample; the last fifth of it calibrates the thresholds by language."""
+    """Fitted on a bounded sample, which also calibrates the thresholds by language."""
     texts, y, languages = labelled_sample(docs, labels, "toxic", learn, max_rows, max_chars)
-    model = ConvolutionalFilter().fit(texts, y)
-    return model.calibrate(texts, y, languages)
+    model = ConvolutionalFilter().fit(texts, y).calibrate(texts, y, languages)
+    del texts
+    release()
+    return model
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn=lambda i: F.lit(True), max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> FtrlFilter:
     texts, y, _ = labelled_sample(docs, labels, "quality", learn, max_rows, max_chars)
-    return FtrlFilter().fit(texts, y)
+    model = FtrlFilter().fit(texts, y)
+    del texts
+    release()
+    return model
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """The documents' own columns and _score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents' own columns and the score, under the name ``score_name`` gives."""
+    name, shared = score_name(docs), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            yield batch.assign(_score=shared.value.score(batch["text"].tolist()))
+            yield batch.assign(**{name: shared.value.score(batch["text"].tolist())})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _score double"
-    return docs.mapInPandas(run, schema)
+    return map_texts(docs, run, schema_of(docs, f"`{name}` double"))
+
+
+def score_name(docs: DataFrame) -> str:
+    return free_name(docs, "_score")
 
 
 def keep_civil(docs: DataFrame, model: ConvolutionalFilter) -> DataFrame:
     """Documents under the toxicity threshold of their language, columns as they came."""
     of = F.create_map(*[x for k, v in sorted(model.thresholds.items()) for x in (F.lit(k), F.lit(v))]) if model.thresholds else None
     threshold = F.coalesce(of[F.coalesce(F.col("lang"), F.lit("None"))], F.lit(0.5)) if of is not None else F.lit(0.5)
-    return scored(docs, model).where(F.col("_score") < threshold).drop("_score")
+    return scored(docs, model).where(F.col(score_name(docs)) < threshold).select(*docs.columns)
 
 
 def keep_good(docs: DataFrame, model: FtrlFilter) -> DataFrame:
     """Documents whose quality score is one half or more, columns as they came."""
-    return scored(docs, model).where(F.col("_score") >= 0.5).drop("_score")
+    return scored(docs, model).where(F.col(score_name(docs)) >= 0.5).select(*docs.columns)
 
 
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

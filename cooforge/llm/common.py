@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +36,46 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a Python worker gets at once. Texts can be long, and a worker holds a batch several times over.
+BATCH_ROWS = 512
+
+
+#: Integers keep their nulls and all their digits in pandas.
+NULLABLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
+
+
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over batches of BATCH_ROWS rows as pandas frames, so that workers stay small whatever the texts.
+
+    Batches travel as Arrow, so integer columns with nulls come back as they were.
+    The batch size is a setting of the session, read when the plan runs.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches):
+        for out in run(batch.to_pandas(types_mapper=NULLABLE.get) for batch in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(mapped, schema)
+
+
+def schema_of(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *more])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front where a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class WordHash(dict):
     """64-bit hash of each word (bytes or str); remembers at most ``most`` words."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 150_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
@@ -58,6 +98,19 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def release() -> None:
+    """Give memory that a fit has freed back to the system; a driver stays small between jobs."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def lower_ascii(column):
     """A-Z to a-z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

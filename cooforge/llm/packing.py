@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered, table
+from .common import checkpoint, map_texts, numbered, table
 
 #: Characters on which the two tokenizer libraries' patterns agree beyond doubt.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]*")
@@ -87,7 +87,7 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema)
 
 
 class Planner:
