@@ -12,9 +12,11 @@
    more pairs than it has members. Collisions of the signatures are counted, and
    pairs below MATCHES are skipped; the others are confirmed on the full sets.
 4. Links become components by alternating large and small stars.
-5. The documents of lists that still hold several components are listed anew
-   under the rarest fifth of their full sets, in which any linked pair must meet.
-   That separates near copies that miss 0.8 by a little, of which signatures of 64
+5. In lists of at most SMALL members all pairs of different components are
+   counted. The documents of larger lists that still hold several components are
+   listed anew under the rarest fifth of their full sets, in which any linked pair
+   must meet, with their positions, which bound what a pair can share. That
+   separates near copies that miss 0.8 by a little, which signatures of 64
    coordinates cannot tell.
 6. Lists that still hold several components draw another hub, a different one
    for each list, and so on for up to TURNS turns while the pairs that step 7
@@ -50,6 +52,8 @@ COUNTERS = 1 << 17
 BROADCAST_IDS = 500_000
 #: Turns of drawn hubs before all pairs across components are made; a bound on rounds, not on what is found.
 TURNS = 8
+#: A list of so many members or fewer pairs them all, which is linear in the entries.
+SMALL = 16
 SHINGLE_COUNTERS = 1 << 18
 
 _RNG = np.random.default_rng(20240501)
@@ -231,7 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     pairs = listed.where((F.col("doc_id") != F.col("hub")) & _alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = checkpoint(confirmed(counted(pairs, nodes), docs, words))
     found = components(links)
-    listed = checkpoint(set_postings(mixed(listed.select("token", "doc_id", "n"), found), docs, words))
+    members = checkpoint(mixed(listed.select("token", "doc_id", "n", F.col("n").alias("c")), found))
+    small = across(members.where(F.col("members") <= SMALL))
+    found = merged(found, confirmed(counted(small, nodes), docs, words))
+    listed = checkpoint(set_postings(members.where(F.col("members") > SMALL), docs, words))
     rows = listed.count()
     for turn in range(TURNS):
         members = checkpoint(mixed(listed, found))
@@ -241,9 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         more = checkpoint(confirmed(counted(starred(members, turn), nodes), docs, words))
         if not more.limit(1).count():
             break
-        found = components(more.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    rest = checkpoint(confirmed(counted(across(mixed(listed, found)), nodes), docs, words))
-    found = components(rest.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        found = merged(found, more)
+    found = merged(found, confirmed(counted(across(mixed(listed, found)), nodes), docs, words))
     of_print = groups.join(found, groups["node"] == found["node"], "left").select("print", F.coalesce("root", groups["node"]).alias("_root"))
     return sketched.join(of_print, "print", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "doc_id").alias("component_id"),
@@ -299,11 +305,16 @@ def _linkable(a: str, b: str):
     return _alike(f"n_{a}", f"n_{b}") & (9 * F.least(f"c_{a}", f"c_{b}") >= 4 * (F.col(f"n_{a}") + F.col(f"n_{b}")))
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root with more links."""
+    return components(links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+
+
 def mixed(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of the lists that hold more than one component, with their root."""
+    """The members of the lists that hold more than one component, with their root and how many members the list has."""
     members = listed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*listed.columns, F.coalesce("root", "doc_id").alias("root"))
-    several = members.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("token")
-    return members.join(several, "token", "left_semi")
+    several = members.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("members")).where("_low < _high")
+    return members.join(several.select("token", "members"), "token")
 
 
 def starred(members: DataFrame, turn: int) -> DataFrame:
