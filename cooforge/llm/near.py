@@ -13,7 +13,8 @@
    pairs below MATCHES are skipped; the others are confirmed on the full sets.
 4. Links become components by alternating large and small stars.
 5. In lists of at most SMALL members all pairs of different components are
-   counted. The documents of larger lists that still hold several components are
+   counted, larger lists being parted by size first. The documents of those that
+   are still larger and hold several components are
    listed anew under the rarest fifth of their full sets, in which any linked pair
    must meet, with their positions, which bound what a pair can share. That
    separates near copies that miss 0.8 by a little, which signatures of 64
@@ -37,6 +38,8 @@ takes no part (component null) and is kept. Other columns pass untouched.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -236,9 +239,11 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     links = checkpoint(confirmed(counted(pairs, nodes), docs, words))
     found = components(links)
     members = checkpoint(mixed(listed.select("token", "doc_id", "n", F.col("n").alias("c")), found))
-    small = across(members.where(F.col("members") <= SMALL))
-    found = merged(found, confirmed(counted(small, nodes), docs, words))
-    listed = checkpoint(set_postings(members.where(F.col("members") > SMALL), docs, words))
+    large = checkpoint(mixed(banded(members.where(F.col("members") > SMALL)), found))
+    few = F.col("members") <= SMALL
+    pairs = across(members.where(few)).union(across(large.where(few))).distinct()
+    found = merged(found, confirmed(counted(pairs, nodes), docs, words))
+    listed = checkpoint(set_postings(large.where(~few), docs, words))
     rows = listed.count()
     for turn in range(TURNS):
         members = checkpoint(mixed(listed, found))
@@ -268,7 +273,6 @@ def set_postings(listed: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     texts = wanted(docs.select(F.col("doc_id").cast("long"), "text"), listed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
     if texts is None:
         return listed.select("token", "doc_id", "n", F.col("n").alias("c"))
-    texts = texts.dropDuplicates(["doc_id"])
     mask = np.uint64(SHINGLE_COUNTERS - 1)
 
     def count(batches):
@@ -305,6 +309,13 @@ def _linkable(a: str, b: str):
     return _alike(f"n_{a}", f"n_{b}") & (9 * F.least(f"c_{a}", f"c_{b}") >= 4 * (F.col(f"n_{a}") + F.col(f"n_{b}")))
 
 
+def banded(members: DataFrame) -> DataFrame:
+    """The entries under token and size band, in two neighbouring bands each, so that sizes a quarter apart meet."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.26))
+    rows = members.select("token", "doc_id", "n", "c", F.explode(F.array(band, band + 1)).alias("band"))
+    return rows.select(F.xxhash64("token", "band").alias("token"), "doc_id", "n", "c")
+
+
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """node, root with more links."""
     return components(links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
