@@ -32,6 +32,8 @@ from .common import checkpoint, table
 LEAF, MOST_CHILDREN = 96, 16
 #: Rows of a candidate block and of a query block, and candidate blocks to a portion.
 BLOCK, QUERIES, PORTION = 8192, 2048, 8
+#: Names of blocks that may be broadcast (under 2 MB): enough for 10^8 queries.
+MOST_NAMES = 50_000
 
 
 class CoverTree:
@@ -193,8 +195,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     portion = F.floor(F.col("block") / PORTION).cast("int")
     side = lambda df, n: df.select("dim", "qblock", "portion", F.lit(n).alias("side"), "tree")
     names = asked.select("dim", "qblock")
-    meet = names.join(data.withColumn("portion", portion), "dim")
-    first = asked.join(data.select("dim", portion.alias("portion")).distinct(), "dim")
+    portions = data.select("dim", portion.alias("portion")).distinct()
+    # one row for each QUERIES queries, and for each BLOCK * PORTION candidates; the trees are never broadcast
+    small = names.count() + portions.count() <= MOST_NAMES
+    spread = F.broadcast if small else lambda df: df
+    meet = data.withColumn("portion", portion).join(spread(names), "dim")
+    first = asked.join(spread(portions), "dim")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["dim", "qblock", "portion"]
     streams = side(first, 0).union(side(meet, 1)).repartition(n, *keys).sortWithinPartitions(*keys, "side")
