@@ -50,7 +50,7 @@ from .common import WordHash, checkpoint, map_texts, mix, table
 
 COORDINATES, MATCHES = 64, 37
 #: Counters of values; a fixed size at every scale, as the order of a prefix needs no exact counts.
-COUNTERS = 1 << 17
+COUNTERS = 1 << 20
 #: Ids that may be broadcast: 4 MB of longs.
 BROADCAST_IDS = 500_000
 #: Turns of drawn hubs before all pairs across components are made; a bound on rounds, not on what is found.
@@ -117,8 +117,8 @@ def postings(nodes: DataFrame) -> DataFrame:
         nodes.select(F.posexplode("sig").alias("place", "value"))
         .groupBy(F.pmod(value * 40503 + place * 977, F.lit(COUNTERS)).cast("int").alias("counter")).agg(F.count("*").alias("n")).toPandas()
     )
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[counted["counter"]] = counted["n"]
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[counted["counter"]] = np.minimum(counted["n"], 2**31 - 1)
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
     prefix = COORDINATES - MATCHES + 1
 
@@ -128,7 +128,7 @@ def postings(nodes: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             value = np.stack(batch["sig"].to_numpy()).astype(np.int64)
-            often = np.minimum(shared.value[_counter(value, place)], 2**31 - 1).astype(np.uint64)
+            often = shared.value[_counter(value, place)].astype(np.uint64)
             token = mix((value & 0xFFFFFFFF).astype(np.uint64) | place.astype(np.uint64) << np.uint64(32), 9)
             order = np.argsort(often << np.uint64(32) | token >> np.uint64(32), axis=1, kind="stable")[:, :prefix]
             yield pd.DataFrame({
