@@ -50,7 +50,7 @@ from .common import WordHash, checkpoint, map_texts, mix, table
 
 COORDINATES, MATCHES = 64, 37
 #: Counters of values; a fixed size at every scale, as the order of a prefix needs no exact counts.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Ids that may be broadcast: 4 MB of longs.
 BROADCAST_IDS = 500_000
 #: Turns of drawn hubs before all pairs across components are made; a bound on rounds, not on what is found.
