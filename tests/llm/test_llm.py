@@ -277,6 +277,22 @@ def test_spans_on_odd_rows(odd, empty):
     assert spans.dedup_documents(empty).count() == 0
 
 
+def test_spans_catch_passages_pasted_into_sentences(spark):
+    """Passages of 50 words and more that share no two whole sentences with their surroundings."""
+    draw = random.Random(2)
+    some = lambda n: [f"w{draw.randint(0, 10**6)}" for _ in range(n)]
+    passages = [[*some(27), some(1)[0] + ".", *some(27)], [*some(18), some(1)[0] + ".", *some(9), some(1)[0] + ".", *some(25)], [*some(5), some(1)[0] + ".", *some(44), some(1)[0] + ".", *some(5)]]
+    rows = [(i, " ".join([*some(7), *passages[i % 3], *some(7)]) + ".") for i in range(12)]
+    got = {r["doc_id"]: r for r in spans.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), piece_words=spans.PIECE_WORDS).collect()}
+    for i, text in rows:
+        words = text.split()
+        left = got[i]["text"].split()
+        if i < 3:
+            assert got[i]["text"] == text and not got[i]["_removed"]
+        else:  # the rest of its own stays, of the passage less than half
+            assert got[i]["_removed"] and left[:7] == words[:7] and left[-7:] == words[-7:] and len(left) - 14 < len(passages[i % 3]) / 2
+
+
 # 3: top-k
 
 
