@@ -16,8 +16,8 @@ Repeats inside a batch of documents are settled where they are hashed: all but
 the first are removed for certain and meet nothing else, so a passage that many
 documents share is spread over the tasks. Null texts stay null; a text that
 loses everything becomes empty; its row stays. Null doc_ids are later than all
-others. Rows that repeat a doc_id, or have none, count as one document: among
-them only repeats within a row are cut.
+others. Rows are told apart by doc_id and text: those that repeat a doc_id, or
+have none, go by a hash of the text. Rows equal in both count as one.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def settled(h, g, doc_id, key, place) -> tuple[np.ndarray, np.ndarray]:
         starts = np.append(True, (h[some][1:] != h[some][:-1]) | (g[some][1:] != g[some][:-1]))
         first = some[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
         fresh[some] = starts
-        again[some] = (doc_id[some] != doc_id[first]) | (key[some] == key[first]) & (place[some] != place[first])
+        again[some] = (doc_id[some] != doc_id[first]) | (key[some] != key[first]) | (place[some] != place[first])
     return again, fresh
 
 
@@ -168,7 +168,7 @@ def cut_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     own, cover, sentence_count, removed_count = (free_name(docs, x) for x in ("_key", "_covered", "_sentences", "_removed"))
     rows = docs.withColumn(own, F.xxhash64("text"))
     found = spans(rows.select(F.col(own).alias("_key"), "doc_id", "text"), min_sentences, min_words, piece_words)
-    nth = F.dense_rank().over(Window.partitionBy("h", "g").orderBy("doc_id"))
+    nth = F.dense_rank().over(Window.partitionBy("h", "g").orderBy("doc_id", "key"))
     later = found.withColumn("_nth", nth).where("again OR _nth > 1")
     covered = later.groupBy(F.col("doc_id").alias("_at"), F.col("key").alias("_at_key")).agg(F.collect_set("place").alias(cover))
 

@@ -293,6 +293,15 @@ def test_spans_catch_passages_pasted_into_sentences(spark):
             assert got[i]["_removed"] and left[:7] == words[:7] and left[-7:] == words[-7:] and len(left) - 14 < len(passages[i % 3]) / 2
 
 
+def test_spans_between_rows_of_one_id(spark):
+    """Rows without a doc_id, and different texts under one, are held against each other."""
+    passage = " ".join(f"Sentence {k} of the passage that they all share." for k in range(6))
+    rows = [(None if i < 10 else 7, f"Own words of row {i} stand here before. {passage} And these close row {i}.") for i in range(20)]
+    out = [r["text"] for r in spans.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), piece_words=spans.PIECE_WORDS).collect()]
+    assert len(out) == 20 and sum(passage in t for t in out) == 1 and sum("of the passage" in t for t in out) == 1
+    assert all(any(f"row {i} stand" in t and f"close row {i}." in t for t in out) for i in range(20))
+
+
 # 3: top-k
 
 
