@@ -9,9 +9,10 @@ pairs of nodes are visited best bound first, and a pair is dropped when
 node. A task takes one query block and a portion of the candidate blocks as a
 stream and holds one tree of each; portions' lists are merged at the end.
 
-Equal vectors of a block share one leaf entry with their k + 1 least ids, which
-is all that a list of k without the query itself can use; so a vector that
-makes up a third of the rows costs no more than any other. Ties go to smaller
+Equal vectors of a block share one leaf entry with the rows of their k + 1 least
+distinct ids, each id at most k times, which is all that a list of k without the
+query's own id can use; so a vector that makes up a third of the rows costs no
+more than any other. Ties go to smaller
 ids. Null vectors, and those with null or non-finite components, take no part,
 nor do null ids. Vectors of another length than the query's are no candidates.
 Rows that repeat an id count as the query itself. Scores are exact while
@@ -87,7 +88,10 @@ class CoverTree:
 
 
 class Block:
-    """A cover tree over distinct integer vectors, with the ids that each stands for."""
+    """A cover tree over distinct integer vectors, with the ids that each stands for.
+
+    With ``keep`` only the rows of its ``keep`` least distinct ids, each id at most keep - 1 times.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int | None):
         order = np.argsort(ids, kind="stable")
@@ -102,7 +106,11 @@ class Block:
         by = np.argsort(at, kind="stable")  # ids ascend within each vector
         starts = np.searchsorted(at[by], np.arange(len(distinct)))
         if keep is not None:
-            by = by[np.arange(len(by)) - starts[at[by]] < keep]
+            of, own = at[by], ids[by]
+            fresh = np.append(True, (of[1:] != of[:-1]) | (own[1:] != own[:-1]))[: len(by)]  # the first row of an id
+            nth = np.cumsum(fresh) - 1
+            copy = np.arange(len(by)) - np.flatnonzero(fresh)[nth]
+            by = by[(nth - nth[starts[of]] < keep) & (copy < keep - 1)]
             starts = np.searchsorted(at[by], np.arange(len(distinct)))
         self.points, self.ids, self.starts = distinct[self.tree.order], ids[by], np.append(starts, len(by))
 

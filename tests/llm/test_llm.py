@@ -330,6 +330,18 @@ def test_top_k_on_odd_rows(spark, monkeypatch):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_with_a_repeated_id(spark):
+    """An id on 30 rows among equal vectors: the query's own rows take no places from the others."""
+    rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 26)] + [(20, [1.0, 2.0])] * 29
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 64)
+    got = {}
+    for r in topk.top_k(vectors.coalesce(1), vectors.where("vec_id = 0").limit(1), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [*range(1, 20), 20]}
+    other = topk.top_k(vectors, vectors.where("vec_id = 25"), 20).collect()
+    assert [r["vec_id"] for r in other] == [0] * 20
+
+
 # 5: shards
 
 
