@@ -19,7 +19,6 @@ class SolverConfig:
     epsilon: float = 1e-12
     pivot_epsilon: float = 1e-31
     krylov_space: int = 25
-    level_of_fill: int | None = None
     block: int = 64
     checkpoint_every: int = 4
     repair: bool = True

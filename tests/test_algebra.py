@@ -237,3 +237,8 @@ def test_product_of_nothing(spark):
     empty = spark.createDataFrame([], "i long, j long, v double")
     ids = spark.range(1, 4).select(F.col("id").alias("i"))
     assert vector(products.multiply_vector(empty, products.generated_vector(spark, 3, "1"), ids=ids), 3).tolist() == [0, 0, 0]
+
+
+def test_settings_that_nothing_reads_are_refused():
+    with pytest.raises(ValueError, match="level_of_fill"):
+        load_config(["level_of_fill = 1"])
