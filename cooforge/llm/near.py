@@ -8,38 +8,33 @@
    COORDINATES - MATCHES + 1 of them under any common order; ordering by how
    often a value occurs (a hashed count over all nodes, of fixed size) keeps
    frequent passages out of the prefix.
-3. Every list joins its members to its least member only, so a list gives no
-   more pairs than it has members. Collisions of the signatures are counted, and
-   pairs below MATCHES are skipped; the others are confirmed on the full sets.
-4. Links become components by alternating large and small stars.
-5. In lists of at most SMALL members all pairs of different components are
-   counted, larger lists being parted by size first. The documents of those that
-   are still larger and hold several components are
-   listed anew under the rarest fifth of their full sets, in which any linked pair
-   must meet, with their positions, which bound what a pair can share. That
-   separates near copies that miss 0.8 by a little, which signatures of 64
-   coordinates cannot tell.
-6. Lists that still hold several components draw another hub, a different one
-   for each list, and so on for up to TURNS turns while the pairs that step 7
-   would make outnumber the list entries. A group of near copies of which any two
-   are linked often enough becomes one component this way, at a cost linear in it.
-7. What is left is joined: in each list, members of different components are
-   paired, counted and confirmed, and components taken a last time. No pair inside
-   a component is ever made, and no link between components is lost.
+3. Lists are dealt in chunks of about ``CHUNK`` members, and each chunk counts the
+   collisions of its members' signatures. It skips members that are in one
+   component already and pairs whose first common entry is another list's, so a
+   pair is counted in one list only. What leaves a chunk is a row for each member
+   with partners at MATCHES or more, never a row for each pair.
+4. Those members get their full sets, and the chunk confirms its pairs on them,
+   again skipping what its own links have joined; out come the links of a
+   spanning forest. Components grow from them by alternating large and small stars.
+5. A list of one chunk is done. Larger ones that still hold several components are
+   dealt anew, in another way, for up to ``TURNS`` turns while step 6 would ship
+   more rows than there are entries: a group of near copies of which any two are
+   linked often enough becomes one component, at a cost linear in it.
+6. Whatever lists still hold several components then have each chunk meet each
+   other, but for chunks that one component fills alone. No link is lost.
 
 A pair at a Jaccard similarity of exactly 0.8 agrees in fewer than MATCHES of
 the 64 coordinates, and is missed, about once in 10^5.
 
 Null and empty texts, and texts without words, have an empty set, no links and
 themselves as component. Texts with fewer words than a shingle have one shingle,
-the whole sequence. Rows with one doc_id are one document; a row without doc_id
-takes no part (component null) and is kept. Other columns pass untouched.
+the whole sequence. Rows that repeat a doc_id with another text are judged each
+by its own text. A null doc_id counts as larger than any other; a group in which
+all are null has the component null. Other columns pass untouched.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -51,17 +46,21 @@ from .common import WordHash, checkpoint, map_texts, mix, table
 COORDINATES, MATCHES = 64, 37
 #: Counters of values; a fixed size at every scale, as the order of a prefix needs no exact counts.
 COUNTERS = 1 << 18
-#: Ids that may be broadcast: 4 MB of longs.
-BROADCAST_IDS = 500_000
-#: Turns of drawn hubs before all pairs across components are made; a bound on rounds, not on what is found.
+#: Members of a chunk and shingles of their sets, about: what one task holds of a list.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 21
+#: Turns of dealing large lists anew before their chunks meet each other; a bound on rounds, not on what is found.
 TURNS = 8
-#: A list of so many members or fewer pairs them all, which is linear in the entries.
-SMALL = 16
-SHINGLE_COUNTERS = 1 << 18
+#: Ids that may be broadcast: 4 MB of longs.
+BROADCAST_IDS = 250_000
+#: Pairs whose signatures are compared at once.
+AT_ONCE = 1 << 15
+#: Stands for a null doc_id.
+LAST = 2**63 - 1
 
 _RNG = np.random.default_rng(20240501)
 _FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_PLACES = np.arange(COORDINATES, dtype=np.int64)
 
 
 def shingles(text: str | None, words: int, hashes: WordHash) -> np.ndarray:
@@ -86,125 +85,224 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), print (a fingerprint of the set), sig; print and sig are null for empty sets."""
+    """doc_id, mark (a hash of the text), n (size of the set), print (a fingerprint of the set), sig; the last two are null for empty sets."""
 
     def run(batches):
         hashes = WordHash()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for text in batch["text"]:
                 items = shingles(text, words, hashes)
-                if len(items):
-                    rows.append((doc_id, len(items), xxhash.xxh3_128_digest(items.tobytes()), signature(items)))
-                else:
-                    rows.append((doc_id, 0, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "print", "sig"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((len(items), xxhash.xxh3_128_digest(items.tobytes()), signature(items).tobytes()) if len(items) else (0, None, None))
+            found = pd.DataFrame(rows, columns=["n", "print", "sig"])
+            yield pd.concat([batch[["doc_id", "mark"]].reset_index(drop=True), found], axis=1)
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, print binary, sig array<int>")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), run, "doc_id long, mark long, n long, print binary, sig binary")
 
 
-def _counter(value, place):
-    """The counter of a coordinate's value; the same in Spark's columns and in numpy."""
-    return (value * 40503 + place * 977) % COUNTERS
+def distinct_sets(sketched: DataFrame) -> DataFrame:
+    """node (a number), print, doc_id and mark of its first row, n, sig: one row for each distinct set."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "mark")).alias("first")
+    groups = sketched.where("n > 0").groupBy("print").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return checkpoint(groups.select(F.monotonically_increasing_id().alias("node"), "print", "first.doc_id", "first.mark", "n", "sig"))
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """token, doc_id, n: each node under the rarest of its coordinate-value pairs."""
-    place, value = F.col("place"), F.col("value").cast("long")
-    counted = (
-        nodes.select(F.posexplode("sig").alias("place", "value"))
-        .groupBy(F.pmod(value * 40503 + place * 977, F.lit(COUNTERS)).cast("int").alias("counter")).agg(F.count("*").alias("n")).toPandas()
-    )
+def counters(nodes: DataFrame) -> np.ndarray:
+    """How many nodes have a value at a coordinate, summed over the values that share one of COUNTERS counters."""
+
+    def run(batches):
+        for batch in batches:
+            counter, n = np.unique(_counter(_values(batch["sig"])), return_counts=True)
+            yield pd.DataFrame({"counter": counter, "n": n})
+
+    found = map_texts(nodes.select("sig"), run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS, np.int32)
-    counts[counted["counter"]] = np.minimum(counted["n"], 2**31 - 1)
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    counts[found["counter"]] = np.minimum(found["n"], 2**31 - 1)
+    return counts
+
+
+def _values(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.int32).reshape(-1, COORDINATES).astype(np.int64)
+
+
+def _counter(value: np.ndarray) -> np.ndarray:
+    return (value * 40503 + _PLACES * 977) % COUNTERS
+
+
+def _entries(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinate-value pairs as 64-bit tokens, and their place in the common order, rare ones first."""
+    token = mix((value & 0xFFFFFFFF).astype(np.uint64) | _PLACES.astype(np.uint64) << np.uint64(32), 9)
+    return token, counts[_counter(value)].astype(np.uint64) << np.uint64(32) | token >> np.uint64(32)
+
+
+def postings(nodes: DataFrame, shared) -> DataFrame:
+    """token, node, n: each node under the rarest of its coordinate-value pairs."""
     prefix = COORDINATES - MATCHES + 1
 
     def run(batches):
-        place = np.arange(COORDINATES, dtype=np.int64)
         for batch in batches:
             if not len(batch):
                 continue
-            value = np.stack(batch["sig"].to_numpy()).astype(np.int64)
-            often = shared.value[_counter(value, place)].astype(np.uint64)
-            token = mix((value & 0xFFFFFFFF).astype(np.uint64) | place.astype(np.uint64) << np.uint64(32), 9)
-            order = np.argsort(often << np.uint64(32) | token >> np.uint64(32), axis=1, kind="stable")[:, :prefix]
+            token, order = _entries(_values(batch["sig"]), shared.value)
+            chosen = np.argsort(order, axis=1, kind="stable")[:, :prefix]
             yield pd.DataFrame({
-                "token": np.take_along_axis(token, order, axis=1).ravel().view(np.int64),
-                "doc_id": np.repeat(batch["doc_id"].to_numpy(), prefix),
+                "token": np.take_along_axis(token, chosen, axis=1).ravel().view(np.int64),
+                "node": np.repeat(batch["node"].to_numpy(), prefix),
                 "n": np.repeat(batch["n"].to_numpy(), prefix),
             })
 
-    return map_texts(nodes.select("doc_id", "n", "sig"), run, "token long, doc_id long, n long")
+    return map_texts(nodes.select("node", "n", "sig"), run, "token long, node long, n long")
 
 
-def _alike(a, b):
-    """Sizes that leave a similarity of 0.8 possible."""
-    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+def _chunks(members, size):
+    """How many chunks so many members with so many shingles take."""
+    return F.ceil(F.greatest(members / CHUNK, size / CHUNK_SHINGLES)).cast("long")
 
 
-def wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """The rows of documents in (a, b) pairs, written down; None without pairs.
-
-    Up to BROADCAST_IDS ids are broadcast, so that the rows need no shuffle;
-    beyond that both sides are shuffled.
-    """
-    ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    count = ids.count()
-    if not count:
-        return None
-    return checkpoint(rows.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi"))
+def inverted(nodes: DataFrame, shared) -> DataFrame:
+    """token, node, n, chunks: the entries of lists with two members or more, and how many chunks the list takes."""
+    posted = checkpoint(postings(nodes, shared))
+    lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
+    return checkpoint(posted.join(lists.select("token", _chunks(F.col("members"), F.col("size")).alias("chunks")), "token"))
 
 
-def counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates."""
-    pairs = checkpoint(pairs)
-    found = wanted(nodes.select("doc_id", "sig"), pairs)
-    if found is None:
-        return pairs
-    sig = lambda id, name: found.select(F.col("doc_id").alias(id), F.col("sig").alias(name))
-    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(sig("b", "sig_b"), "b").join(sig("a", "sig_a"), "a").where(same >= MATCHES).select("a", "b")
+def whole_groups(batches, keys: list[str], rows: int = 4096):
+    """The batches of a sorted stream joined to frames of about ``rows`` rows that cut no group of equal keys."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < rows:
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        last = np.logical_and.reduce([(frame[k] == frame[k].iloc[-1]).to_numpy() for k in keys])
+        cut = len(frame) - int(last.sum())
+        if cut:
+            yield frame.iloc[:cut]
+        held, n = [frame.iloc[cut:]], len(frame) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, portion: int = 128) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= 80 * union of the full shingle sets.
+def collisions(dealt: DataFrame, nodes: DataFrame, shared) -> DataFrame:
+    """token, chunk, node, partners: the members of each chunk that agree with another in MATCHES coordinates.
 
-    The b side of each a is dealt in portions of about ``portion``, each of which
-    gets a's text once and is read as a stream.
+    ``dealt`` has token, chunk, side, node, root. Sides 0 and 1 of a chunk meet each other, side 2 meets itself.
+    Each pair stands once, at one of its two members; the other has a row too.
     """
-    pairs = checkpoint(pairs)
-    texts = wanted(docs.select(F.col("doc_id").cast("long"), "text"), pairs)
-    if texts is None:
-        return pairs
-    texts = texts.dropDuplicates(["doc_id"])
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / portion).alias("shares"))
-    dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
-    second = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", F.lit(1).alias("side"), "b", "text")
-    first = (
-        shares.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        .join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-    )
+    least = np.uint64(MATCHES)
+
+    def agreeing(i, j, value, early):
+        kept = []
+        for k in range(0, len(i), AT_ONCE):
+            a, b = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+            same = value[a] == value[b]
+            hit = same.sum(axis=1) >= least
+            hit[hit] = ~(same[hit] & early[a[hit]]).any(axis=1)
+            kept.append(np.stack([a[hit], b[hit]]))
+        return np.concatenate(kept, axis=1)
+
+    def run(batches):
+        for frame in whole_groups(batches, ["token", "chunk"]):
+            token, chunk, side, root, n = (frame[c].to_numpy(np.int64) for c in ("token", "chunk", "side", "root", "n"))
+            value = _values(frame["sig"])
+            entry, order = _entries(value, shared.value)
+            here = entry == token.view(np.uint64)[:, None]
+            early, value = order < np.where(here, order, 0).max(axis=1)[:, None], value.astype(np.int32)
+            found, gap = [np.zeros((2, 0), np.int64)], 1
+            while gap < len(frame):
+                together = (token[gap:] == token[:-gap]) & (chunk[gap:] == chunk[:-gap])
+                if not together.any():
+                    break
+                a, b = slice(None, -gap), slice(gap, None)
+                met = together & (root[a] != root[b]) & ((side[a] == 2) | (side[a] != side[b])) & (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a])
+                i = np.flatnonzero(met)
+                if len(i):
+                    found.append(agreeing(i, i + gap, value, early))
+                gap += 1
+            i, j = np.concatenate(found, axis=1)
+            node = frame["node"].to_numpy(np.int64)
+            rows = np.unique(np.append(i, j))
+            by = np.argsort(i, kind="stable")
+            cuts = np.searchsorted(i[by], rows), np.searchsorted(i[by], rows, side="right")
+            partners = [node[j[by[low:high]]] for low, high in zip(*cuts)]
+            yield pd.DataFrame({"token": token[rows], "chunk": chunk[rows], "node": node[rows], "partners": pd.Series(partners, dtype=object)})
+
+    count = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.join(nodes.select("node", "n", "sig"), "node").repartition(count, "token", "chunk").sortWithinPartitions("token", "chunk")
+    return map_texts(rows.select("token", "chunk", "side", "node", "root", "n", "sig"), run, "token long, chunk long, node long, partners array<long>")
+
+
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, items: the full sets of the nodes of ``wanted``, read again from their texts."""
+    ids = checkpoint(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "mark"), "node"))
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    texts = texts.join(F.broadcast(ids) if few else ids, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
-        hashes, key, own = WordHash(), None, None
+        hashes = WordHash()
         for batch in batches:
-            out = []
-            for a, share, side, b, text in batch.itertuples(index=False, name=None):
-                items = shingles(text, words, hashes)
-                if side == 0:
-                    key, own = (a, share), items
-                elif key == (a, share):
-                    both = len(np.intersect1d(own, items, assume_unique=True))
-                    if 100 * both >= 80 * (len(own) + len(items) - both):
-                        out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame({"node": batch["node"], "items": [shingles(text, words, hashes).tobytes() for text in batch["text"]]})
+
+    return map_texts(texts, run, "node long, items binary")
+
+
+class Forest:
+    """Components of a chunk's members, by position."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+
+def _linked(items: list[np.ndarray], partners: list[list[int]]) -> Forest:
+    """The components of sets under 100 * intersection >= 80 * union, tried for the given partners only."""
+    forest, sizes = Forest(len(items)), [len(x) for x in items]
+    names, local = np.unique(np.concatenate(items), return_inverse=True)
+    local, own = np.split(local, np.cumsum(sizes)[:-1]), np.zeros(len(names), bool)
+    for a, others in enumerate(partners):
+        if not others:
+            continue
+        own[local[a]] = True
+        for b in others:
+            if forest.top(a) != forest.top(b):
+                both = int(np.count_nonzero(own[local[b]]))
+                if 100 * both >= 80 * (sizes[a] + sizes[b] - both):
+                    low, high = sorted((forest.top(a), forest.top(b)))
+                    forest.up[high] = low
+        own[local[a]] = False
+    return forest
+
+
+def confirmed(collided: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """a, b: links on full sets that join what is linked in each chunk, no more than it has members."""
+    collided = checkpoint(collided)
+    sets = full_sets(collided, nodes, docs, words)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streams = first.union(second).repartition(n, "a", "share").sortWithinPartitions("a", "share", "side")
-    return map_texts(streams, run, "a long, b long")
+    def run(batches):
+        for frame in whole_groups(batches, ["token", "chunk"], rows=1):
+            a, b = [], []
+            token, chunk = frame["token"].to_numpy(np.int64), frame["chunk"].to_numpy(np.int64)
+            starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (chunk[1:] != chunk[:-1])))
+            for low, high in zip(starts, np.append(starts[1:], len(frame))):
+                node = frame["node"].to_numpy(np.int64)[low:high]
+                place = {x: k for k, x in enumerate(node.tolist())}
+                items = [np.frombuffer(x, np.uint64) for x in frame["items"].iloc[low:high]]
+                forest = _linked(items, [[place[x] for x in p] for p in frame["partners"].iloc[low:high]])
+                for k in range(len(node)):
+                    if forest.top(k) != k:
+                        a.append(node[forest.top(k)])
+                        b.append(node[k])
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = collided.join(sets, "node").repartition(count, "token", "chunk").sortWithinPartitions("token", "chunk")
+    return map_texts(rows.select("token", "chunk", "node", "partners", "items"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,136 +324,102 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, for each row of ``docs``."""
-    sketched = checkpoint(sketches(docs, words))
-    full = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    groups = checkpoint(full.groupBy("print").agg(F.min("doc_id").alias("node")))
-    nodes = checkpoint(full.join(groups.withColumnRenamed("node", "doc_id"), ["doc_id", "print"], "left_semi"))
-    posted = checkpoint(postings(nodes))
-    lists = posted.groupBy("token").agg(F.min("doc_id").alias("hub"), F.min_by("n", "doc_id").alias("hub_n"), F.count("*").alias("members")).where("members > 1")
-    listed = checkpoint(posted.join(lists.drop("members"), "token"))
-    pairs = listed.where((F.col("doc_id") != F.col("hub")) & _alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = checkpoint(confirmed(counted(pairs, nodes), docs, words))
-    found = components(links)
-    members = checkpoint(mixed(listed.select("token", "doc_id", "n", F.col("n").alias("c")), found))
-    large = checkpoint(mixed(banded(members.where(F.col("members") > SMALL)), found))
-    few = F.col("members") <= SMALL
-    pairs = across(members.where(few)).union(across(large.where(few))).distinct()
-    found = merged(found, confirmed(counted(pairs, nodes), docs, words))
-    listed = checkpoint(set_postings(large.where(~few), docs, words))
-    rows = listed.count()
-    for turn in range(TURNS):
-        members = checkpoint(mixed(listed, found))
-        left = members.where("9 * c >= 8 * n").groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        if (left.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0) <= rows:
-            break
-        more = checkpoint(confirmed(counted(starred(members, turn), nodes), docs, words))
-        if not more.limit(1).count():
-            break
-        found = merged(found, more)
-    found = merged(found, confirmed(counted(across(mixed(listed, found)), nodes), docs, words))
-    of_print = groups.join(found, groups["node"] == found["node"], "left").select("print", F.coalesce("root", groups["node"]).alias("_root"))
-    return sketched.join(of_print, "print", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_root", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("_root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
-
-
-def set_postings(listed: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """token, doc_id, n, c: the listed documents under the rarest fifth of their full shingle sets.
-
-    Two sets of similarity 0.8 meet in the first n - ceil(0.8 n) + 1 shingles of
-    each under any common order; here, that of a hashed count over the listed
-    documents, of fixed size. c is what a set has from the token on: two
-    sets whose first common token this is share no more than the smaller c.
-    """
-    texts = wanted(docs.select(F.col("doc_id").cast("long"), "text"), listed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
-    if texts is None:
-        return listed.select("token", "doc_id", "n", F.col("n").alias("c"))
-    mask = np.uint64(SHINGLE_COUNTERS - 1)
-
-    def count(batches):
-        hashes = WordHash()
-        for batch in batches:
-            seen = np.concatenate([shingles(text, words, hashes) & mask for text in batch["text"]] or [np.zeros(0, np.uint64)])
-            counter, k = np.unique(seen.astype(np.int64), return_counts=True)
-            yield pd.DataFrame({"counter": counter, "k": k})
-
-    often = map_texts(texts, count, "counter long, k long").groupBy("counter").agg(F.sum("k").alias("k")).toPandas()
-    counts = np.zeros(SHINGLE_COUNTERS, np.int64)
-    counts[often["counter"]] = often["k"]
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches):
-        hashes = WordHash()
-        for batch in batches:
-            token, size, used, rest = [], [], [], []
-            for text in batch["text"]:
-                items = shingles(text, words, hashes)
-                order = np.lexsort((items, shared.value[(items & mask).astype(np.int64)]))
-                chosen = items[order[: len(items) - (4 * len(items) + 4) // 5 + 1]]
-                token.append(chosen)
-                size.append(len(items))
-                used.append(len(chosen))
-                rest.append(len(items) - np.arange(len(chosen)))
-            yield pd.DataFrame({"token": np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), used), "n": np.repeat(size, used), "c": np.concatenate(rest) if rest else np.zeros(0, np.int64)})
-
-    return map_texts(texts, run, "token long, doc_id long, n long, c long")
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root with more links."""
+    return components(links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
-def _linkable(a: str, b: str):
-    """Sizes, and what is left from the first common token on, that leave a similarity of 0.8 possible."""
-    return _alike(f"n_{a}", f"n_{b}") & (9 * F.least(f"c_{a}", f"c_{b}") >= 4 * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def banded(members: DataFrame) -> DataFrame:
-    """The entries under token and size band, in two neighbouring bands each, so that sizes a quarter apart meet."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.26))
-    rows = members.select("token", "doc_id", "n", "c", F.explode(F.array(band, band + 1)).alias("band"))
-    return rows.select(F.xxhash64("token", "band").alias("token"), "doc_id", "n", "c")
+def several(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of lists with more than one component, with their roots. A list is joined by shares, as many as it has chunks."""
+    members = rooted(entries, found).withColumn("share", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    open_lists = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("shares")).where("low < high")
+    shares = open_lists.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    return members.join(shares, ["token", "share"]).drop("share")
 
 
-def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """node, root with more links."""
-    return components(links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+def chunked(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of each list (token, unit, part, n) and its members with theirs.
 
-
-def mixed(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of the lists that hold more than one component, with their root and how many members the list has."""
-    members = listed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*listed.columns, F.coalesce("root", "doc_id").alias("root"))
-    several = members.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("members")).where("_low < _high")
-    return members.join(several.select("token", "members"), "token")
+    A component that fills chunks by itself is a unit, all others of the list are unit -1.
+    """
+    alone = members.groupBy("token", "root").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where(f"k >= {CHUNK} OR size >= {CHUNK_SHINGLES}").select("token", "root", F.col("root").alias("unit"))
+    dealt = members.join(alone, ["token", "root"], "left").withColumn("unit", F.coalesce("unit", F.lit(-1).cast("long")))
+    units = dealt.groupBy("token", "unit").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    parts = checkpoint(units.select("token", "unit", "k", _chunks(F.col("k"), F.col("size")).alias("parts")))
+    chunks = parts.select("token", "unit", (F.col("k") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    of_unit = parts.select("token", "unit", "parts")
+    return chunks, dealt.join(of_unit, ["token", "unit"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+
+
+def meetings(chunks: DataFrame) -> DataFrame:
+    """Which chunks of a list meet: all but two of one component; a number for each meeting."""
+    side = lambda s: chunks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("unit", "part", "n")])
+    both = side("a").join(side("b"), "token").where("(unit_a < unit_b) OR (unit_a = -1 AND unit_b = -1 AND part_a <= part_b)")
+    return both.withColumn("chunk", F.monotonically_increasing_id())
+
+
+def met(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The members of chunks, once for each meeting."""
+    alone = F.expr("unit_a = unit_b AND part_a = part_b")
+    left = pairs.select("token", F.col("unit_a").alias("unit"), F.col("part_a").alias("part"), "chunk", F.when(alone, 2).otherwise(0).alias("side"))
+    right = pairs.where(~alone).select("token", F.col("unit_b").alias("unit"), F.col("part_b").alias("part"), "chunk", F.lit(1).alias("side"))
+    return members.join(left.union(right), ["token", "unit", "part"]).select("token", "chunk", "side", "node", "root")
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, root: the components of the distinct sets, for every node with a link."""
+    shared = nodes.sparkSession.sparkContext.broadcast(counters(nodes))
+    entries = inverted(nodes, shared)
+
+    def turn(members: DataFrame, number: int) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("node", F.lit(number)), F.col("chunks"))
+        dealt = members.select("token", chunk.alias("chunk"), F.lit(2).alias("side"), "node", "root")
+        return checkpoint(confirmed(collisions(dealt, nodes, shared), nodes, docs, words))
+
+    found = components(turn(entries.withColumn("root", F.col("node")), 0))
+    large = checkpoint(entries.where("chunks > 1"))
+    bound = entries.count()
+    for number in range(1, TURNS + 1):
+        if not large.limit(1).count():
+            return found
+        members = checkpoint(several(large, found))
+        chunks, dealt = chunked(members)
+        pairs = checkpoint(meetings(chunks))
+        if number == TURNS or (pairs.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0] or 0) <= bound:
+            break
+        links = turn(members.drop("n"), number)
+        if not links.limit(1).count():
+            break
+        found = merged(found, links)
+    return merged(found, checkpoint(confirmed(collisions(met(dealt, pairs), nodes, shared), nodes, docs, words)))
 
 
-def starred(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each list's hub, another for every list and turn, and the members of other components."""
-    draw = F.xxhash64("token", "doc_id", F.lit(turn))
-    hubs = members.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "doc_id", "n", "c", "root")).alias("h"))
-    hubs = hubs.select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("n_a"), F.col("h.c").alias("c_a"), F.col("h.root").alias("hub_root"))
-    pairs = members.withColumnsRenamed({"n": "n_b", "c": "c_b"}).join(hubs, "token").where((F.col("root") != F.col("hub_root")) & _linkable("a", "b"))
-    return pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+def judged(docs: DataFrame, words: int) -> DataFrame:
+    """For each row doc_id, mark, n_shingles and the doc_id and mark of the first document of its component (null for empty sets)."""
+    sketched = checkpoint(sketches(docs, words))
+    nodes = distinct_sets(sketched)
+    placed = checkpoint(rooted(nodes.select("node", "print", "doc_id", "mark"), linked_sets(nodes, docs, words)))
+    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    of_print = placed.join(firsts, "root").select("print", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
+    return sketched.join(of_print, "print", "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), "first_id", "first_mark")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list whose components differ."""
-    members = checkpoint(members)
-    parts = members.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("c"))
-    left = parts.select("token", F.col("root").alias("root_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("c").alias("c_a"))
-    right = parts.select("token", F.col("root").alias("root_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("c").alias("c_b"))
-    apart = (F.col("root_a") < F.col("root_b")) & (F.col("high_a") * 5 >= F.col("low_b") * 4) & (F.col("high_b") * 5 >= F.col("low_a") * 4)
-    apart = apart & (9 * F.least("c_a", "c_b") >= 4 * (F.col("low_a") + F.col("low_b")))
-    roots = left.join(right, "token").where(apart).select("token", "root_a", "root_b")
-    side = lambda s: members.select("token", F.col("root").alias(f"root_{s}"), F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("c").alias(f"c_{s}"))
-    pairs = roots.join(side("a"), ["token", "root_a"]).join(side("b"), ["token", "root_b"]).where(_linkable("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, for each row of ``docs``."""
+    component = F.when(F.col("first_id").isNull(), F.col("doc_id")).when(F.col("first_id") != LAST, F.col("first_id"))
+    return judged(docs, words).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """One document of each group of near copies (the least doc_id), columns as they came; its repeated rows stay."""
-    kept = near_duplicates(docs, words).where("kept")
-    whole = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(whole, docs["doc_id"].cast("long").eqNullSafe(whole["_kept"]), "left_semi")
+    own = F.coalesce("doc_id", F.lit(LAST))
+    gone = judged(docs, words).where((F.col("first_id") != own) | (F.col("first_mark") != F.col("mark"))).select(own.alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_mark"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

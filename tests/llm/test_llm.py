@@ -202,8 +202,11 @@ def test_near_duplicates(spark, docs, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
-def test_near_duplicates_of_a_wide_group(spark):
-    """Copies of one text with a few words changed: some linked to many, some to none."""
+@pytest.mark.parametrize("chunk,turns", [(256, 8), (8, 8), (8, 1)])
+def test_near_duplicates_of_a_wide_group(spark, monkeypatch, chunk, turns):
+    """Copies of one text with a few words changed: some linked to many, some to none. Small chunks make the later turns work."""
+    monkeypatch.setattr(near, "CHUNK", chunk)
+    monkeypatch.setattr(near, "TURNS", turns)
     draw = random.Random(5)
     base = [f"w{draw.randint(0, 400)}" for _ in range(120)]
     rows = []
@@ -225,6 +228,15 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert near.near_duplicates(empty).count() == 0 and near.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_under_one_id(spark):
+    """Rows of one doc_id, or of none, are judged each by its own text."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(7, a), (7, b), (8, a), (9, b), (None, a), (None, "all alone here now"), (7, a)], "doc_id long, text string")
+    rows = near.near_duplicates(docs, 2).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, True), (0, 7, False), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near.keep_one(docs, 2).collect()) == sorted([(0, "all alone here now"), (7, a), (7, a), (7, b)])
+
+
 def test_signature_is_the_minimum():
     items = np.sort(np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64))
     whole = (items[:, None] * near._FACTORS + near._SHIFTS).min(axis=0) >> np.uint64(32)
