@@ -5,9 +5,10 @@ packed into as few sequences as possible. Only the number of pieces of each
 length matters for the plan, so the driver sees one count per length (at most
 ``capacity`` rows, however large the corpus): lengths are taken from the longest
 down; a gap is closed by a single length, a pair or a triple whose sum fills it
-exactly, found in the index of available lengths, as often as the counts allow;
+exactly, found in an index of sums, as often as the counts allow;
 what has no exact complement is filled by the longest piece that fits (best
-fit). A plan entry is a pattern of lengths and how often it is used. Pieces are
+fit). Of plans that use pairs and triples for all gaps or for small ones only,
+the one with the fewest sequences counts. A plan entry is a pattern of lengths and how often it is used. Pieces are
 numbered within their length by a distributed sort and look up their sequence
 and offset in the plan.
 
@@ -22,6 +23,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,8 @@ class FastEncoder:
     """The ids of a ``tokenizers`` file of byte-level BPE.
 
     Texts of plain characters go through tiktoken with the ranks of that very
-    file (the same ids, four times faster); all others through tokenizers.
+    file (the same ids, four times faster); all others, and those that hold an
+    added token's name, through tokenizers.
     """
 
     def __init__(self, path: str):
@@ -47,18 +50,18 @@ class FastEncoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path, encoding="utf8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         special = {x.content for x in self.full.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if PLAIN.fullmatch(text):
+        if PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         return self.full.encode(text, add_special_tokens=False).ids
 
@@ -91,60 +94,81 @@ def cut(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, keep_
 
 
 class Planner:
-    """Patterns of lengths that fill sequences, from the count of each length."""
+    """Patterns of lengths that fill sequences, from the count of each length.
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
-        self.left = np.zeros(capacity + 1, np.int64)
+    The index has for each sum the larger members of the pairs, and the largest
+    of the triples, of available lengths that make it; a member that has run out
+    is passed once and for all. Singles close any gap; pairs and triples close
+    gaps of ``reach`` at most, larger ones take their best fit first.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int, reach: int | None = None):
+        self.capacity, self.reach = capacity, capacity if reach is None else reach
+        self.left = [0] * (capacity + 1)
         for length, count in counts.items():
             self.left[length] += count
-
-    def _uses(self, pattern: list[int]) -> int:
-        return min(int(self.left[x]) // pattern.count(x) for x in set(pattern))
-
-    def _pair(self, gap: int, most: int, placed: list[int]) -> list[int] | None:
-        """The pair a >= b with a + b = gap, a as long as possible."""
-        high = np.arange(min(gap - 1, most), (gap + 1) // 2 - 1, -1)
-        if not len(high):
-            return None
-        for a in high[(self.left[high] > 0) & (self.left[gap - high] > 0)][:8]:
-            if self._uses([*placed, int(a), gap - int(a)]):
-                return [int(a), gap - int(a)]
-        return None
-
-    def _exact(self, gap: int, placed: list[int]) -> list[int] | None:
-        most = placed[-1]
-        if gap <= most and self.left[gap] and self._uses([*placed, gap]):
+        lengths = np.flatnonzero(self.left)
+        known = np.array(self.left) > 0
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for s in range(2, capacity + 1):
+            high = lengths[(2 * lengths >= s) & (lengths < s)]
+            self.pairs[s] = high[known[s - high]][::-1].tolist()
+        for s in range(3, capacity + 1):
+            self.triples[s] = [a for a in lengths[(3 * lengths >= s) & (lengths < s - 1)][::-1].tolist() if self.pairs[s - a]]
+        self.at = {2: [0] * (capacity + 1), 3: [0] * (capacity + 1)}
+
+    def _members(self, kind: int, total: int):
+        """The members of the index under a sum that are left."""
+        members, at = (self.pairs if kind == 2 else self.triples)[total], self.at[kind]
+        while at[total] < len(members) and not self.left[members[at[total]]]:
+            at[total] += 1
+        return (a for a in islice(members, at[total], None) if self.left[a])
+
+    def _exact(self, kind: int, gap: int) -> list[int] | None:
+        """Lengths still there, ``kind`` of them, that sum to ``gap``; they are taken."""
+        if kind == 1:
+            if not self.left[gap]:
+                return None
+            self.left[gap] -= 1
             return [gap]
-        if pair := self._pair(gap, most, placed):
-            return pair
-        for a in range(min(gap - 2, most), (gap + 2) // 3 - 1, -1):
-            if self.left[a] and self._uses([*placed, a]) and (pair := self._pair(gap - a, a, [*placed, a])):
-                return [a, *pair]
+        for a in self._members(kind, gap):
+            self.left[a] -= 1
+            if rest := self._exact(kind - 1, gap - a):
+                return [a, *rest]
+            self.left[a] += 1
         return None
 
     def plan(self) -> list[tuple[list[int], int]]:
-        out = []
+        out, left = [], self.left
         for length in range(self.capacity, 0, -1):
-            while self.left[length]:
+            while left[length]:
+                left[length] -= 1
                 pattern, gap = [length], self.capacity - length
                 while gap:
-                    if exact := self._exact(gap, pattern):
+                    exact = next((x for kind in ((1, 2, 3) if gap <= self.reach else (1,)) if (x := self._exact(kind, gap))), None)
+                    if exact:
                         pattern += exact
                         break
-                    fits = np.flatnonzero(self.left[: min(gap, pattern[-1]) + 1])[::-1]
-                    best = next((int(x) for x in fits if self._uses([*pattern, int(x)])), None)
+                    best = next((x for x in range(min(gap, length), 0, -1) if left[x]), None)
                     if best is None:
                         break
+                    left[best] -= 1
                     pattern.append(best)
                     gap -= best
-                uses = self._uses(pattern)
+                more = min(left[x] // pattern.count(x) for x in set(pattern))
                 for x in pattern:
-                    self.left[x] -= uses
-                out.append((pattern, uses))
+                    left[x] -= more
+                out.append((pattern, 1 + more))
         return out
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Of the plans by several reaches that with the fewest sequences; of equal ones that with the widest reach."""
+    plans = [Planner(counts, capacity, capacity >> k).plan() for k in (0, 2, 3, 5)]
+    return min(plans, key=lambda plan: sum(uses for _, uses in plan))
+
+
 def places(plan: list[tuple[list[int], int]], capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: where its numbers are cut, and each interval's first sequence and offset."""
     taken, base, rows = [0] * (capacity + 1), 0, {}
@@ -165,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     doc_id, piece and length.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    found = pieces.sparkSession.sparkContext.broadcast(places(Planner(counts, capacity).plan(), capacity))
+    found = pieces.sparkSession.sparkContext.broadcast(places(best_plan(counts, capacity), capacity))
     ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank")
 
     def run(batches):
