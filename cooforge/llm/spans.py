@@ -12,7 +12,8 @@ doc_id and position stays, and every sentence or piece covered by a later one is
 removed. Forward and backward runs together cover each sentence of any repeated
 passage of MIN_WORDS words or more.
 
-Repeats inside a batch of documents are settled where they are hashed: all but
+Repeats inside a batch of documents, and of those repeated in earlier batches of
+the task, are settled where they are hashed: all but
 the first are removed for certain and meet nothing else, so a passage that many
 documents share is spread over the tasks. Null texts stay null; a text that
 loses everything becomes empty; its row stays. Null doc_ids are later than all
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -40,12 +41,16 @@ LAST = 2**63 - 1
 #: In the low 16 bits of a place: a piece of a sentence, and that it is the last words.
 PIECE, TAIL = 0x8000, 0x4000
 WORD = re.compile(r"\S+")
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+[\"')\]]*(?=\s)\s*|\n\s*|$)|\n\s*")
+#: Where a sentence ends. No part of a run of marks or white space is read twice, so that the scan is linear.
+CUT = re.compile(r"[.!?][\"')\]]*\s+|\n\s*")
+#: Digests that a worker remembers as repeated, so that a passage of very many documents is sent about once a task.
+REMEMBERED = 50_000
 
 
 def sentences(text: str) -> list[str]:
     """The sentences with the white space after them; together they are the text."""
-    return [x for x in SENTENCE.findall(text) if x]
+    cuts = [0, *(m.end() for m in CUT.finditer(text)), len(text)]
+    return [text[i:j] for i, j in pairwise(cuts) if i < j]
 
 
 def runs(words: list[list[str]], min_sentences: int, min_words: int) -> list[tuple[int, int]]:
@@ -92,22 +97,45 @@ def hashed(parts: list[str], min_sentences: int, min_words: int, piece_words: in
     return out
 
 
-def settled(h, g, doc_id, key, place) -> tuple[np.ndarray, np.ndarray]:
-    """Of a batch's rows: which are repeats for certain, and which may be the first of their digest.
+def settled(h, g, doc_id, key, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's rows: which are repeats for certain, which may be the first of their digest, and which of these others repeat (by number).
 
     A repeat is a later row of the batch with the same digest, in another document or at another place.
     """
-    again, fresh = np.zeros(len(h), bool), np.ones(len(h), bool)
+    again, fresh, first = np.zeros(len(h), bool), np.ones(len(h), bool), np.zeros(0, np.int64)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     some = order[np.append(same, False) | np.append(False, same)] if len(h) else order
     some = some[np.lexsort((place[some], key[some], doc_id[some], g[some], h[some]))]
     if len(some):
         starts = np.append(True, (h[some][1:] != h[some][:-1]) | (g[some][1:] != g[some][:-1]))
-        first = some[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
+        of = some[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
         fresh[some] = starts
-        again[some] = (doc_id[some] != doc_id[first]) | (key[some] != key[first]) | (place[some] != place[first])
-    return again, fresh
+        again[some] = (doc_id[some] != doc_id[of]) | (key[some] != key[of]) | (place[some] != place[of])
+        first = np.unique(of[again[some]])
+    return again, fresh, first
+
+
+class Repeated:
+    """The first rows of digests that were repeated inside a batch, at most ``most`` of them: h, g, doc_id, key."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.rows = most, np.zeros((4, 0), np.int64)
+
+    def later(self, h, g, doc_id, key) -> np.ndarray:
+        """Which rows come after a remembered one of their digest, in another document."""
+        own = self.rows
+        if not own.shape[1]:
+            return np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(own[0], h), own.shape[1] - 1)
+        met = (own[0][at] == h) & (own[1][at] == g)
+        return met & ((doc_id > own[2][at]) | ((doc_id == own[2][at]) & (key > own[3][at])))
+
+    def add(self, h, g, doc_id, key) -> None:
+        """Of two rows of one h the first stays; the newest digests stay when there are too many."""
+        rows = np.concatenate([np.stack([h, g, doc_id, key]), self.rows[:, : self.most]], axis=1)
+        rows = rows[:, np.lexsort((rows[3], rows[2], rows[0]))]
+        self.rows = rows[:, np.append(True, rows[0][1:] != rows[0][:-1])[: rows.shape[1]]]
 
 
 def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
@@ -117,6 +145,7 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
     """
 
     def run(batches):
+        known = Repeated()
         for batch in batches:
             digests, place, lengths = [], [], []
             for text in batch["text"]:
@@ -127,7 +156,9 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             h, g, place = halves[:, 0].copy(), halves[:, 1].copy(), np.array(place, np.int64)
             doc_id, key = (np.repeat(batch[c].to_numpy(np.int64), lengths) for c in ("doc_id", "_key"))
-            again, fresh = settled(h, g, doc_id, key, place)
+            again, fresh, first = settled(h, g, doc_id, key, place)
+            again |= known.later(h, g, doc_id, key)
+            known.add(h[first], g[first], doc_id[first], key[first])
             h[again] = mix((key[again] ^ (place[again] << 20)).view(np.uint64)).view(np.int64)
             g[again] = 0
             keep = again | fresh
