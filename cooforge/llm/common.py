@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,33 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from cooforge.plans.lineage import checkpoint, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share.
-
-    ``spark.checkpoint.dir`` is used where the session names one; only without
-    it (as in tests on one machine) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
-
-    Smaller than a checkpointed RDD, and with true sizes for the plans over it.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows that a Python worker gets at once. Texts can be long, and a worker holds a batch several times over.
 BATCH_ROWS = 512
 
@@ -125,6 +102,18 @@ def crc_of_id(column):
     return F.crc32(column.cast("string").cast("binary"))
 
 
+def least_hashed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those whose key hashes lowest.
+
+    A threshold taken from a count lets through only slightly more than that, so
+    that no task sorts more however many partitions there are.
+    """
+    total, scale = rows.count(), 1 << 40
+    share = min(1.0, (most + 6 * most**0.5 + 50) / max(total, 1))
+    place = F.pmod(F.xxhash64(key), F.lit(scale))
+    return rows.where(place < int(share * scale)).orderBy(place, key).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: int, max_chars: int):
     """A bounded sample of labelled documents on the driver: texts, 0/1 labels, languages.
 
@@ -138,8 +127,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_r
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y"))
         .where(F.col("_y").isNotNull() & F.col("_id").isNotNull() & learn(F.col("_id")))
         .groupBy("_id").agg(F.max("_y").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
+    picked = least_hashed(picked, "_id", max_rows)
     rows = (
         docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
         .where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
