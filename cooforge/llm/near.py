@@ -8,7 +8,8 @@
    COORDINATES - MATCHES + 1 of them under any common order; ordering by how
    often a value occurs (a hashed count over all nodes, of fixed size) keeps
    frequent passages out of the prefix.
-3. Lists are dealt in chunks of about ``CHUNK`` members, and each chunk counts the
+3. Entries whose sizes and one-bit summaries rule out every partner in the list go.
+   The lists are dealt in chunks of about ``CHUNK`` members, and each chunk counts the
    collisions of its members' signatures. It skips members that are in one
    component already and pairs whose first common entry is another list's, so a
    pair is counted in one list only. What leaves a chunk is a row for each member
@@ -136,22 +137,25 @@ def _entries(value: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def postings(nodes: DataFrame, shared) -> DataFrame:
-    """token, node, n: each node under the rarest of its coordinate-value pairs."""
+    """token, node, n, bits: each node under the rarest of its coordinate-value pairs, with one bit of each coordinate."""
     prefix = COORDINATES - MATCHES + 1
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            token, order = _entries(_values(batch["sig"]), shared.value)
+            value = _values(batch["sig"])
+            token, order = _entries(value, shared.value)
             chosen = np.argsort(order, axis=1, kind="stable")[:, :prefix]
+            bits = np.packbits((value & 1).astype(bool), axis=1).view(np.int64).ravel()
             yield pd.DataFrame({
                 "token": np.take_along_axis(token, chosen, axis=1).ravel().view(np.int64),
                 "node": np.repeat(batch["node"].to_numpy(), prefix),
                 "n": np.repeat(batch["n"].to_numpy(), prefix),
+                "bits": np.repeat(bits, prefix),
             })
 
-    return map_texts(nodes.select("node", "n", "sig"), run, "token long, node long, n long")
+    return map_texts(nodes.select("node", "n", "sig"), run, "token long, node long, n int, bits long")
 
 
 def _chunks(members, size):
@@ -160,10 +164,20 @@ def _chunks(members, size):
 
 
 def inverted(nodes: DataFrame, shared) -> DataFrame:
-    """token, node, n, chunks: the entries of lists with two members or more, and how many chunks the list takes."""
+    """token, node, n, chunks: the entries of lists with two members or more, and how many chunks the list takes.
+
+    In a list of one chunk an entry without a partner of a size and of bits that
+    leave MATCHES collisions possible has none to count, and goes at once.
+    """
     posted = checkpoint(postings(nodes, shared))
     lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
-    return checkpoint(posted.join(lists.select("token", _chunks(F.col("members"), F.col("size")).alias("chunks")), "token"))
+    lists = checkpoint(lists.select("token", _chunks(F.col("members"), F.col("size")).alias("chunks")))
+    large = posted.join(lists.where("chunks > 1"), "token").select("token", "node", "n", "chunks")
+    whole = posted.join(lists.where("chunks = 1").select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("node", "n", "bits")).alias("members"))
+    near = lambda x, y: (5 * x["n"] >= 4 * y["n"]) & (5 * y["n"] >= 4 * x["n"]) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= COORDINATES - MATCHES)
+    kept = F.filter("members", lambda x: F.exists("members", lambda y: (x["node"] != y["node"]) & near(x, y)))
+    small = whole.select("token", F.explode(kept).alias("m")).select("token", "m.node", "m.n", F.lit(1).cast("long").alias("chunks"))
+    return checkpoint(small.union(large))
 
 
 def whole_groups(batches, keys: list[str], rows: int = 4096):
