@@ -51,7 +51,7 @@ COUNTERS = 1 << 18
 CHUNK, CHUNK_SHINGLES = 256, 1 << 21
 #: Turns of dealing large lists anew before their chunks meet each other; a bound on rounds, not on what is found.
 TURNS = 8
-#: Ids that may be broadcast: 4 MB of longs.
+#: Ids or lists that may be broadcast: 4 MB of longs.
 BROADCAST_IDS = 250_000
 #: Pairs whose signatures are compared at once.
 AT_ONCE = 1 << 15
@@ -172,7 +172,8 @@ def inverted(nodes: DataFrame, shared) -> DataFrame:
     posted = checkpoint(postings(nodes, shared))
     lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
     lists = checkpoint(lists.select("token", _chunks(F.col("members"), F.col("size")).alias("chunks")))
-    large = posted.join(lists.where("chunks > 1"), "token").select("token", "node", "n", "chunks")
+    wide = lists.where("chunks > 1")
+    large = posted.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, "token").select("token", "node", "n", "chunks")
     whole = posted.join(lists.where("chunks = 1").select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("node", "n", "bits")).alias("members"))
     near = lambda x, y: (5 * x["n"] >= 4 * y["n"]) & (5 * y["n"] >= 4 * x["n"]) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= COORDINATES - MATCHES)
     kept = F.filter("members", lambda x: F.exists("members", lambda y: (x["node"] != y["node"]) & near(x, y)))
