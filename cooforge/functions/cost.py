@@ -25,20 +25,33 @@ def off_diagonal(l="l", g="g") -> Column:
     return l * (l + 1) / 2 + g * l - l
 
 
-def flops(kind: str, l="l", g="g") -> Column:
-    """Multiplications and additions of eliminating a block from the sums over its columns.
+#: Real operations of a multiplication and of an addition.
+WEIGHTS = {"real": (1.0, 1.0), "complex": (6.0, 2.0)}
 
-    The k-th column (from the last, k = 1) has m = k - 1 + g entries below it:
-    LLt and LDLt scale them and update the lower triangle they span, LU updates the square.
+
+def flops(kind: str, l="l", heights="heights") -> Column:
+    """Operations of eliminating a block of ``l`` columns over off-diagonal blocks of the given ``heights`` (an array).
+
+    Dense factor of the diagonal block, a triangular solve of the rows below, and
+    a product for each block with itself and all below it; LU does the latter two
+    for both sides. The counts of multiplications and additions are LAPACK's, the
+    triangular solve being counted with as many additions as multiplications.
+    A complex multiplication takes 6 real operations, a complex addition 2.
     """
-    l, g = _c(l).cast("double"), _c(g).cast("double")
-    total = l * (l - 1) / 2 + l * g  # sum of m
-    squares = (l - 1) * l * (2 * l - 1) / 6 + g * l * (l - 1) + l * g * g  # sum of m^2
-    forms = {"llt": l + total + squares + total, "ldlt": 2 * total + squares + total, "lu": total + 2 * squares}
-    if kind.removeprefix("z") not in forms:
+    base = kind.removeprefix("z")
+    if base not in ("llt", "ldlt", "lu"):
         raise ValueError(f"unknown factorisation {kind}")
-    # a complex multiplication and addition take four real operations for each real one
-    return forms[kind.removeprefix("z")] * (4.0 if kind.startswith("z") else 1.0)
+    times, plus = WEIGHTS["complex" if kind.startswith("z") else "real"]
+    l, sides = _c(l).cast("double"), 2.0 if base == "lu" else 1.0
+    heights = F.transform(_c(heights), lambda x: x.cast("double"))
+    below = F.aggregate(heights, F.lit(0.0), lambda total, x: total + x)
+    # a height times itself and all after it: half of (square of the sum + sum of squares)
+    pairs = (below * below + F.aggregate(heights, F.lit(0.0), lambda total, x: total + x * x)) / 2
+    if base == "lu":
+        factor = times * (l**3 / 3 + l * 2 / 3) + plus * (l**3 / 3 - l**2 / 2 + l / 6)
+    else:
+        factor = times * (l**3 / 6 + l**2 / 2 + l / 3) + plus * (l**3 / 6 - l / 6)
+    return factor + sides * (times + plus) * (below * l * (l + 1) / 2 + pairs * l)
 
 
 def factor_seconds(l="l", g="g") -> Column:

@@ -12,12 +12,14 @@ counted. Cholesky raises on a negative pivot before taking its root.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint
+from ..plans.lineage import checkpoint, dealt
 from .structure import expand_symmetric, permute, permute_vector
 
 KINDS = ("llt", "ldlt", "lu")
@@ -75,29 +77,38 @@ def _front(kind: str, epsilon: float):
     return run
 
 
+def _to_levels(waiting: dict[int, list[DataFrame]], rows: DataFrame) -> None:
+    """Deal rows to the level at which they are read, so that each level reads its own and nothing else."""
+    for level, part in dealt(rows, "level").items():
+        waiting.setdefault(level, []).append(part)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def factorise(a: DataFrame, analysis: DataFrame, kind: str = "lu", epsilon: float = 1e-31, symmetric_storage: bool = False) -> DataFrame:
-    """Fronts of the factor: a row for each column block with its dense parts. Runs a job per level."""
+    """Fronts of the factor: a row for each column block with its dense parts. Runs a job or two per level."""
     if kind not in KINDS:
         raise ValueError(f"unknown factorisation {kind}")
     full = expand_symmetric(a) if symmetric_storage else a
     analysis = checkpoint(analysis.drop("below"))
-    ranges = analysis.groupBy("cblk", "level").agg(F.min("new").alias("first"), F.max("new").alias("last"))
-    block_of = analysis.select(F.col("new").alias("_col"), "cblk")
+    ranges = checkpoint(analysis.groupBy("cblk", "level").agg(F.min("new").alias("first"), F.max("new").alias("last")))
+    block_of = analysis.select(F.col("new").alias("_col"), "cblk", "level")
     moved = permute(full, analysis.select("old", "new")).withColumn("_col", F.least("i", "j"))
-    entries = checkpoint(moved.join(block_of, "_col").select("cblk", "i", "j", "v"))
-    waiting, fronts = entries, None
+    waiting: dict[int, list[DataFrame]] = {}
+    _to_levels(waiting, moved.join(block_of, "_col").select("level", "cblk", "i", "j", "v"))
+    fronts = []
     for level in range(1 + analysis.agg(F.max("level")).first()[0]):
         own = ranges.where(F.col("level") == level)
         anchor = own.select("cblk", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
-        summed = waiting.join(own.select("cblk"), "cblk", "left_semi").groupBy("cblk", "i", "j").agg(F.sum("v").alias("v"))
-        gathered = summed.unionByName(anchor).join(own, "cblk")
-        done = checkpoint(gathered.groupBy("cblk").applyInPandas(_front(kind, epsilon), FRONT))
+        summed = _together([*waiting.pop(level, []), anchor]).groupBy("cblk", "i", "j").agg(F.sum("v").alias("v"))
+        done = checkpoint(summed.join(own, "cblk").groupBy("cblk").applyInPandas(_front(kind, epsilon), FRONT))
         updates = done.where("dest > 0").select(F.col("dest").alias("_col"), F.explode(F.arrays_zip("ui", "uj", "uv")).alias("u"))
-        updates = updates.join(block_of, "_col").select("cblk", F.col("u.ui").alias("i"), F.col("u.uj").alias("j"), F.col("u.uv").alias("v"))
-        waiting = waiting.unionByName(updates)
-        done = done.drop("ui", "uj", "uv")
-        fronts = done if fronts is None else fronts.unionByName(done)
-    return fronts
+        updates = updates.join(block_of, "_col").select("level", "cblk", F.col("u.ui").alias("i"), F.col("u.uj").alias("j"), F.col("u.uv").alias("v"))
+        _to_levels(waiting, updates)
+        fronts.append(done.drop("ui", "uj", "uv"))
+    return _together(fronts)
 
 
 def _split(front):
@@ -112,64 +123,77 @@ def _triangle(m: np.ndarray, b: np.ndarray, lower: bool, unit: bool) -> np.ndarr
         if not unit:
             x[k] /= m[k, k]
         others = slice(k + 1, None) if lower else slice(0, k)
-        x[others] -= m[others, k] * x[k]
+        x[others] -= np.outer(m[others, k], x[k])
     return x
 
 
-def _sweep(kind: str, forward: bool, transposed: bool):
-    """One block of a sweep: its unknowns, and forward its contributions to the rows below."""
+def _sweep(kind: str, forward: bool, transposed: bool, sides: list[int]):
+    """One block of a sweep for all right-hand sides: its unknowns, and forward its contributions to the rows below."""
 
     def run(fronts: pd.DataFrame, vector: pd.DataFrame) -> pd.DataFrame:
         if not len(fronts):
-            return pd.DataFrame({"i": [], "x": [], "own": []})
+            return pd.DataFrame({"i": [], "rhs": [], "x": [], "own": []})
         front = fronts.iloc[0]
         diag, low, up = _split(front)
         cols, rows = np.asarray(front["cols"], np.int64), np.asarray(front["rows"], np.int64)
-        given = dict(zip(vector["i"], vector["x"]))
-        b = np.array([given.get(c, 0.0) for c in cols])
+        index = np.concatenate([cols, rows])
+        given = np.zeros((len(index), len(sides)))
+        if len(vector):
+            np.add.at(given, (np.searchsorted(index, vector["i"]), np.searchsorted(sides, vector["rhs"])), vector["x"])
+        b, beyond = given[: len(cols)], given[len(cols) :]
         first, second = (up.T, low.T) if transposed and kind == "lu" else (low, up)
         forward_unit = kind != "llt" and not (transposed and kind == "lu")
         if forward:
             triangle = diag.T if transposed and kind == "lu" else diag
             x = _triangle(triangle, b, True, forward_unit)
-            send = -(first @ x)
-            return pd.DataFrame({"i": np.concatenate([cols, rows]), "x": np.concatenate([x, send]), "own": np.repeat([1, 0], [len(cols), len(rows)])})
-        beyond = np.array([given.get(r, 0.0) for r in rows])
-        triangle = diag.T if kind == "llt" or (transposed and kind == "lu") else diag
-        x = _triangle(triangle, b - second @ beyond, False, transposed and kind == "lu")
-        return pd.DataFrame({"i": cols, "x": x, "own": np.ones(len(cols), int)})
+            x, own = np.concatenate([x, -(first @ x)]), np.repeat([1, 0], [len(cols), len(rows)])
+        else:
+            triangle = diag.T if kind == "llt" or (transposed and kind == "lu") else diag
+            x, own = _triangle(triangle, b - second @ beyond, False, transposed and kind == "lu"), np.ones(len(cols), int)
+        return pd.DataFrame({"i": np.repeat(index[: len(x)], len(sides)), "rhs": np.tile(np.array(sides, np.int64), len(x)), "x": x.ravel(), "own": np.repeat(own, len(sides))})
 
     return run
 
 
 def solve_factored(fronts: DataFrame, analysis: DataFrame, b: DataFrame, kind: str, transposed: bool = False) -> DataFrame:
-    """x with A x = b (or At x = b, for lu), numbered as b. Two jobs per level.
+    """x with A x = b (or At x = b, for lu), numbered as b. Two jobs or three per level.
 
+    A column rhs tells right-hand sides apart; all go through one sweep, so a
+    front's block of unknowns is as wide as there are right-hand sides, whose
+    numbers the driver knows. Each level reads only what is dealt to it.
     For ldlt the upper part of a front holds D Lt, so the backward sweep divides by D too.
     """
+    several = "rhs" in b.columns
+    sides = sorted(r["rhs"] for r in b.select("rhs").distinct().collect()) if several else [0]
+    x_of, shape = F.col("x"), "i long, rhs long, x double, own int"
     perm = analysis.select("old", "new")
-    where = checkpoint(analysis.select(F.col("new").alias("i"), "cblk", "level"))
+    where = checkpoint(analysis.select(F.col("new").alias("i"), F.col("cblk").alias("to"), "level"))
     depth = where.agg(F.max("level")).first()[0]
-    pending = checkpoint(permute_vector(b, perm))
-    solved = None
+    moved = b.join(perm, b["i"] == perm["old"]).select(F.col("new").alias("i"), (F.col("rhs") if several else F.lit(0)).cast("long").alias("rhs"), "x")
+    fronts_of = dealt(fronts.select("level", "cblk", "cols", "rows", "diag", "low", "up"), "level")
+
+    def sweep(level, parts, forward):
+        vector = _together(parts).groupBy("to", "i", "rhs").agg(F.sum(x_of).alias("x")) if parts else where.where("false").select("to", "i", F.lit(0).cast("long").alias("rhs"), F.lit(0.0).alias("x"))
+        return checkpoint(fronts_of[level].groupBy("cblk").cogroup(vector.groupBy("to")).applyInPandas(_sweep(kind, forward, transposed, sides), shape))
+
+    waiting: dict[int, list[DataFrame]] = {}
+    _to_levels(waiting, moved.join(where, "i").select("level", "to", "i", "rhs", "x"))
+    backward: dict[int, list[DataFrame]] = {}
     for level in range(depth + 1):
-        own = fronts.where(F.col("level") == level)
-        rows = where.where(F.col("level") == level)
-        vector = pending.join(rows, "i").groupBy(F.col("cblk").alias("to"), "i").agg(F.sum("x").alias("x"))
-        out = checkpoint(own.groupBy("cblk").cogroup(vector.groupBy("to")).applyInPandas(_sweep(kind, True, transposed), "i long, x double, own int"))
-        x = out.where("own = 1").select("i", "x")
-        solved = x if solved is None else solved.unionByName(x)
-        pending = pending.unionByName(out.where("own = 0").select("i", "x"))
-    forward, found = checkpoint(solved), None
+        out = sweep(level, waiting.pop(level, []), True)
+        backward[level] = [out.where("own = 1").join(where.where(F.col("level") == level), "i").select("to", "i", "rhs", "x")]
+        _to_levels(waiting, out.where("own = 0").join(where, "i").select("level", "to", "i", "rhs", "x"))
+    # which fronts need a column above them, dealt by the level of that column
+    needs = fronts.select("level", F.col("cblk").alias("to"), F.explode("rows").alias("i"))
+    needs = dealt(needs.join(where.select("i", F.col("level").alias("source")), "i"), "source")
+    found = []
     for level in range(depth, -1, -1):
-        own = fronts.where(F.col("level") == level)
-        needs = own.select(F.col("cblk").alias("to"), F.explode(F.concat("cols", "rows")).alias("i"))
-        known = forward.join(where.where(F.col("level") == level), "i").select("i", "x")
-        known = known if found is None else known.unionByName(found)
-        vector = needs.join(known, "i")
-        out = checkpoint(own.groupBy("cblk").cogroup(vector.groupBy("to")).applyInPandas(_sweep(kind, False, transposed), "i long, x double, own int").select("i", "x"))
-        found = out if found is None else found.unionByName(out)
-    return permute_vector(found, perm.select(F.col("new").alias("old"), F.col("old").alias("new")))
+        out = sweep(level, backward.pop(level), False).select("i", "rhs", "x")
+        found.append(out)
+        if level in needs:
+            _to_levels(backward, out.join(needs[level], "i").select("level", "to", "i", "rhs", "x"))
+    back = perm.select(F.col("new").alias("i"), "old")
+    return _together(found).join(back, "i").select(F.col("old").alias("i"), *(["rhs"] if several else []), "x")
 
 
 def factor_entries(fronts: DataFrame) -> DataFrame:

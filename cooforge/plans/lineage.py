@@ -33,11 +33,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, column: str) -> dict[int, DataFrame]:
+    """The rows written down by the values of a whole-number column: for each value a table of its own, without it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    read, rest = df.sparkSession.read, df.drop(column).schema
+    values = {int(part.removeprefix(f"{column}=")) for name in read.schema(rest).parquet(path).inputFiles() for part in name.split("/") if part.startswith(f"{column}=")}
+    return {v: df.sparkSession.read.schema(rest).parquet(f"{path}/{column}={v}") for v in sorted(values)}
+
+
 def clear_checkpoints(spark: SparkSession) -> None:
     """Delete every table of this session; DataFrames over them cannot be read afterwards."""
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     files = path.getFileSystem(sc._jsc.hadoopConfiguration())
     for status in files.listStatus(path):
-        if status.getPath().getName().startswith(("table-", "scratch-")):
+        if status.getPath().getName().startswith(("table-", "scratch-", "pipeline-")):
             files.delete(status.getPath(), True)

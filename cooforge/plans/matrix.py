@@ -40,7 +40,7 @@ class SparseMatrix:
         """Both triangles, stored out."""
         from ..operators.structure import expand_symmetric
 
-        return self if self.symmetry == "general" else self.with_entries(expand_symmetric(self.entries), symmetry="general")
+        return self if self.symmetry == "general" else self.with_entries(expand_symmetric(self.entries, conjugate=self.symmetry == "hermitian"), symmetry="general")
 
 
 def from_table(df: DataFrame, row: str, col: str, value: str, base: int = 0) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from ..functions import complexes
 from ..operators.factor import factorise, schur_complement, solve_factored
 from ..operators.graph import analyse
 from ..operators.krylov import METHODS, jacobi, refine
 from ..operators.partition import check_matrix
+from ..operators.structure import lower_triangle
 from .config import SolverConfig, SolveStats
 from .lineage import checkpoint
 from .matrix import SparseMatrix
@@ -58,9 +60,7 @@ class SparseSolver:
         return self
 
     def solve(self, b: DataFrame, transposed: bool = False) -> DataFrame:
-        """Forward and backward sweeps, no refinement. One right-hand side, or several in a column rhs."""
-        if "rhs" in b.columns:
-            return self._each(b, lambda part: self.solve(part, transposed))
+        """Forward and backward sweeps, no refinement. One right-hand side, or several, in a column rhs, in one sweep."""
         return solve_factored(self.factorise(), self.analyse(), b, self.config.factor, transposed)
 
     def refine(self, b: DataFrame) -> DataFrame:
@@ -86,7 +86,30 @@ class SparseSolver:
         from pyspark.sql import functions as F
 
         out = None
-        for (k,) in b.select("rhs").distinct().orderBy("rhs").collect():  # right-hand sides, a handful
+        for (k,) in b.select("rhs").distinct().orderBy("rhs").collect():  # each has iterations of its own
             x = solve(b.where(F.col("rhs") == k).select("i", "x")).select("i", F.lit(k).alias("rhs"), "x")
             out = x if out is None else out.unionByName(x)
         return out
+
+
+class ComplexSolver:
+    """Complex systems through the real form of twice the order: v and x are (re, im) structs.
+
+    Hermitian matrices (one triangle stored) take llt, or ldlh as the ldlt of
+    their real form; general and symmetric ones take lu.
+    """
+
+    def __init__(self, matrix: SparseMatrix, config: SolverConfig | None = None):
+        config, hermitian = (config or SolverConfig()).checked(matrix.symmetry, True), matrix.symmetry == "hermitian"
+        if not hermitian and config.factor != "lu":
+            raise ValueError("complex matrices that are not Hermitian need lu")
+        real = complexes.real_form(matrix.full().entries)
+        real = lower_triangle(real) if hermitian and config.factor != "lu" else real
+        kind = "symmetric" if hermitian and config.factor != "lu" else "general"
+        self.inner = SparseSolver(SparseMatrix(real, 2 * matrix.rows, 2 * matrix.cols, kind), replace(config, factor="ldlt" if config.factor == "ldlh" else config.factor))
+
+    def solve(self, b: DataFrame) -> DataFrame:
+        return complexes.complex_vector(self.inner.solve(complexes.real_vector(b)))
+
+    def refine(self, b: DataFrame) -> DataFrame:
+        return complexes.complex_vector(self.inner.refine(complexes.real_vector(b)))

@@ -1,8 +1,10 @@
 """Queries over the driver's tables, one or more for each operator, with the SQL that must give the same rows.
 
-A is parts x suppliers with the summed quantity; S is nations x nations
-(supplier's by customer's); T is S without a third of its positions, so that its
-pattern is not symmetric. Vectors have x_j = j unless said otherwise.
+A is parts x suppliers with the summed quantity, taken as square where an
+operator wants that (its pattern is not symmetric); S is nations x nations
+(supplier's by customer's); the tree is a symmetric positive definite matrix over
+regions, nations, suppliers and customers, each tied to the one it belongs to.
+A and the tree grow with the tables. Vectors have x_j = j unless said otherwise.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .operators.factor import factor_entries, factorise, schur_complement, solve
 from .plans.config import SolverConfig
 from .plans.lineage import checkpoint
 from .plans.matrix import SparseMatrix, from_table
-from .plans.solver import SparseSolver
+from .plans.solver import ComplexSolver, SparseSolver
 from .sources.readers import laplacian, load_matrix
 from .sources.writers import csc_text_lines, matrix_market_lines, save_parquet
 
@@ -27,7 +29,10 @@ NATIONS = 25
 A_SQL = "a AS (SELECT l_partkey + 1 AS i, l_suppkey + 1 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 S_SQL = """s AS (SELECT CAST(s_nationkey AS BIGINT) + 1 AS i, CAST(c_nationkey AS BIGINT) + 1 AS j, sum(l_quantity) AS v
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
-T_SQL = S_SQL + ", t AS (SELECT * FROM s WHERE (i * i + 2 * j) % 3 <> 0)"
+T_SQL = A_SQL + ", t AS (SELECT * FROM a)"
+#: The order of A as a square matrix, and of the tree.
+PARTS_SQL = "(SELECT max(p_partkey) + 1 FROM part)"
+TREE_SQL = "(SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer))"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -56,7 +61,24 @@ def S(spark, d):
 
 
 def T(spark, d):
-    return S(spark, d).where("(i * i + 2 * j) % 3 <> 0")
+    """A as a square matrix."""
+    return A(spark, d)
+
+
+def parts(spark, d) -> int:
+    return read(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+
+
+def tree(spark, d) -> tuple[DataFrame, int]:
+    """The tree's lower triangle, -1 for each tie and a dominant diagonal, and its order: regions, nations, suppliers, customers."""
+    regions, nations, suppliers = (read(spark, d, t).count() for t in ("region", "nation", "supplier"))
+    ties = [("nation", "n_nationkey", "n_regionkey", regions, 0), ("supplier", "s_suppkey", "s_nationkey", regions + nations, regions), ("customer", "c_custkey", "c_nationkey", regions + nations + suppliers, regions)]
+    off = [read(spark, d, t).select((F.col(k).cast("long") + at + 1).alias("i"), (F.col(of).cast("long") + above + 1).alias("j"), F.lit(-1.0).alias("v")) for t, k, of, at, above in ties]
+    off = off[0].unionByName(off[1]).unionByName(off[2])
+    n = regions + nations + suppliers + read(spark, d, "customer").count()
+    diagonal = spark.range(1, n + 1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    full = structure.dominant_diagonal(structure.expand_symmetric(off.unionByName(diagonal)))
+    return checkpoint(structure.lower_triangle(full)), n
 
 
 def index_vector(spark, n):
@@ -122,16 +144,35 @@ for _name, _f, _sql in (
     ("ordering_graph", structure.graph_of, "SELECT i, j FROM t WHERE i <> j UNION SELECT j, i FROM t WHERE i <> j"),
     ("dominant_diagonal", structure.dominant_diagonal, "SELECT i, j, CASE WHEN i = j THEN sum(CASE WHEN i <> j THEN abs(v) ELSE 0 END) OVER (PARTITION BY j) + 1 ELSE v END AS v FROM t"),
     ("model_dominance", structure.model_dominance, "SELECT i, j, CASE WHEN i = j THEN 2.0 * count(*) OVER (PARTITION BY j) - 1.0 ELSE -0.8 END::DOUBLE AS v FROM t"),
-    ("add_zero_diagonal", lambda a: structure.add_zero_diagonal(a, NATIONS), "SELECT * FROM t UNION ALL SELECT range, range, 0.0::DOUBLE FROM range(1, 26)"),
-    ("add_edges", lambda a: structure.add_edges(a, a.where("i = 1").select(F.col("j").alias("i"), F.col("i").alias("j"))), "SELECT * FROM t UNION ALL SELECT j, i, 0.0::DOUBLE FROM t WHERE i = 1"),
+    ("add_edges", lambda a: structure.add_edges(a, a.select(F.col("j").alias("i"), F.col("i").alias("j"))), "SELECT * FROM t UNION ALL SELECT j, i, 0.0::DOUBLE FROM t"),
     ("diag_counts", norms.diagonal_counts, "SELECT count(*) FILTER (i > j) AS lower, count(*) FILTER (i = j) AS diagonal, count(*) FILTER (i < j) AS upper FROM t"),
-    ("split_zero_diag", lambda a: structure.split_weak_diagonal(a, NATIONS, 1e-31), "SELECT range AS old, row_number() OVER (ORDER BY (v IS NULL), range) AS new, v IS NULL AS weak FROM range(1, 26) LEFT JOIN t ON i = range AND j = range"),
-    ("fill_levels_one", lambda a: graph.fill_levels(a, 1), """, g AS (SELECT i, j FROM t UNION SELECT j, i FROM t), p AS (SELECT i, j, 0 AS level FROM g UNION ALL
-     SELECT x.i, y.j, 1 FROM g x JOIN g y ON x.j = y.i WHERE x.i > x.j AND y.i < y.j) SELECT i, j, min(level) AS level FROM p GROUP BY 1, 2"""),
 ):
     query(_sql, T_SQL, name=_name)(lambda spark, d, f=_f: f(T(spark, d)))
 
 
+@query(f"SELECT * FROM t UNION ALL SELECT k, k, 0.0::DOUBLE FROM (SELECT unnest(range(1, {PARTS_SQL} + 1)) AS k)", T_SQL)
+def add_zero_diagonal(spark, d):
+    return structure.add_zero_diagonal(T(spark, d), parts(spark, d))
+
+
+@query(f"SELECT k AS old, row_number() OVER (ORDER BY (v IS NULL), k) AS new, v IS NULL AS weak FROM (SELECT unnest(range(1, {PARTS_SQL} + 1)) AS k) LEFT JOIN t ON i = k AND j = k", T_SQL)
+def split_zero_diag(spark, d):
+    return structure.split_weak_diagonal(T(spark, d), parts(spark, d), 1e-31)
+
+
+#: The tree's ties, each both ways, and its diagonal.
+TIES_SQL = """u AS (SELECT CAST(n_nationkey AS BIGINT) + 6 AS i, CAST(n_regionkey AS BIGINT) + 1 AS j FROM nation
+UNION ALL SELECT s_suppkey + 31, CAST(s_nationkey AS BIGINT) + 6 FROM supplier
+UNION ALL SELECT c_custkey + 31 + (SELECT count(*) FROM supplier), CAST(c_nationkey AS BIGINT) + 6 FROM customer),
+g AS (SELECT i, j FROM u UNION ALL SELECT j, i FROM u UNION ALL SELECT k, k FROM (SELECT unnest(range(1, """ + TREE_SQL + """ + 1)) AS k))"""
+
+
+@query("SELECT i, j, min(level) AS level FROM p GROUP BY 1, 2", TIES_SQL, "p AS (SELECT i, j, 0 AS level FROM g UNION ALL SELECT x.i, y.j, 1 FROM g x JOIN g y ON x.j = y.i WHERE x.i > x.j AND y.i < y.j)")
+def fill_levels_one(spark, d):
+    """The leaves of a nation meet once it is eliminated, for nations come before their suppliers and customers."""
+    return graph.fill_levels(tree(spark, d)[0], 1)
+
+
 def _perm(spark):
     return spark.range(1, NATIONS + 1).select(F.col("id").alias("old"), (F.col("id") * 7 % NATIONS + 1).alias("new"))
 
@@ -235,8 +276,8 @@ for _rule, _sql in (
     ("add", "coalesce(b.v, 0) + coalesce(c.v, 0)"), ("keep", "coalesce(b.v, c.v)"), ("max", "greatest(b.v, c.v)"), ("min", "least(b.v, c.v)"), ("ovw", "coalesce(c.v, b.v)"),
 ):
     query(
-        f"SELECT i, j, {_sql} AS v FROM b FULL JOIN c USING (i, j)", T_SQL, "b AS (SELECT * FROM t WHERE j > 3)", "c AS (SELECT j AS i, i AS j, v FROM t WHERE i > 3)", name=f"addlocal_{_rule}",
-    )(lambda spark, d, rule=_rule: (lambda t: products.merge_local(t.where("j > 3"), structure.transpose(t), rule))(checkpoint(T(spark, d))))
+        f"SELECT i, j, {_sql} AS v FROM b FULL JOIN c USING (i, j)", T_SQL, "b AS (SELECT * FROM t)", "c AS (SELECT j AS i, i AS j, v FROM t WHERE i IN (SELECT j FROM t))", name=f"addlocal_{_rule}",
+    )(lambda spark, d, rule=_rule: (lambda t: products.merge_local(t, structure.transpose(t), rule))(checkpoint(T(spark, d))))
 
 
 @query("SELECT i, rhs, sum(v) * rhs AS x FROM s, (SELECT range AS rhs FROM range(1, 3)) GROUP BY 1, 2", S_SQL)
@@ -301,9 +342,9 @@ def berr(spark, d):
     return norms.backward_error(residual(spark, d), abs_residual_bound(spark, d)).select(F.round("berr", 9).alias("berr"))
 
 
-@query("SELECT range AS j, CAST(coalesce(sum(c) OVER (ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS ptr FROM range(1, 27) LEFT JOIN (SELECT j, count(*) AS c FROM t GROUP BY j) ON j = range", T_SQL)
+@query(f"SELECT k AS j, CAST(coalesce(sum(c) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS ptr FROM (SELECT unnest(range(1, {PARTS_SQL} + 2)) AS k) LEFT JOIN (SELECT j, count(*) AS c FROM t GROUP BY j) ON j = k", T_SQL)
 def prefix_colptr(spark, d):
-    return ordered.column_pointers(T(spark, d), NATIONS)
+    return ordered.column_pointers(T(spark, d), parts(spark, d))
 
 
 @query("SELECT i, j, v FROM s", S_SQL)
@@ -395,10 +436,10 @@ def collected_blocks(spark, d):
     return b.agg(F.count("*").alias("blocks"), F.sum(F.col("values")[0]).alias("total"))
 
 
-@query("SELECT DISTINCT i, j FROM t", T_SQL)
+@query("SELECT i, j FROM t UNION SELECT j, i FROM t", T_SQL)
 def assembly_graph(spark, d):
     t = checkpoint(T(spark, d))
-    return Assembly(spark, NATIONS).add_edges(t).add_edges(t.where("i > 3")).close_graph()
+    return Assembly(spark, parts(spark, d)).add_edges(t).add_edges(structure.transpose(t)).close_graph()
 
 
 @query("SELECT range AS i, coalesce(x, 0) AS x FROM range(1, 26) LEFT JOIN (SELECT j AS i, sum(v) AS x FROM s WHERE j > 4 GROUP BY j) ON i = range", S_SQL)
@@ -447,44 +488,43 @@ def factor_cost(spark, d):
 
 @query()
 def minimum_degree_order(spark, d):
-    t = structure.expand_symmetric(structure.lower_triangle(T(spark, d))).where("abs(i - j) < 6")
-    return graph.analyse(t, NATIONS, "minimum_degree").select("old", "new", "parent", "rows", "cblk", "level")
+    lower, n = tree(spark, d)
+    return graph.analyse(lower, n, "minimum_degree").select("old", "new", "parent", "rows", "cblk", "level")
 
 
 @query()
 def rcm_order(spark, d):
-    t = structure.expand_symmetric(structure.lower_triangle(T(spark, d))).where("abs(i - j) < 6")
-    return graph.analyse(t, NATIONS, "rcm").select("old", "new", "parent", "rows", "cblk", "level")
+    lower, n = tree(spark, d)
+    return graph.analyse(lower, n, "rcm").select("old", "new", "parent", "rows", "cblk", "level")
 
 
 @query()
 def block_structure(spark, d):
-    t = structure.expand_symmetric(structure.lower_triangle(T(spark, d))).where("abs(i - j) < 6")
-    return graph.block_rows(checkpoint(graph.analyse(t, NATIONS, "minimum_degree")))
+    lower, n = tree(spark, d)
+    return graph.block_rows(checkpoint(graph.analyse(lower, n, "minimum_degree")))
 
 
-def _banded(spark, d):
-    """A symmetric positive definite band out of S, made dominant."""
-    band = structure.lower_triangle(S(spark, d)).where("i - j < 3")
-    return checkpoint(structure.dominant_diagonal(structure.expand_symmetric(band)))
+def _system(spark, d) -> tuple[DataFrame, int]:
+    """The whole tree and its order."""
+    lower, n = tree(spark, d)
+    return checkpoint(structure.expand_symmetric(lower)), n
 
 
-ONES = "SELECT range AS i, 1.0::DOUBLE AS x FROM range(1, 26)"
-INDEX = "SELECT range AS i, range::DOUBLE AS x FROM range(1, 26)"
+ONES = f"SELECT unnest(range(1, {TREE_SQL} + 1)) AS i, 1.0::DOUBLE AS x"
+INDEX = f"SELECT k AS i, k::DOUBLE AS x FROM (SELECT unnest(range(1, {TREE_SQL} + 1)) AS k)"
 
 
 def _rounded(x):
-    return x.select("i", F.round("x", 6).alias("x"))
+    return x.select(*[c for c in x.columns if c != "x"], F.round("x", 6).alias("x"))
 
 
 def _direct(kind: str, side: str):
     def run(spark, d):
-        a = _banded(spark, d)
-        solver = SparseSolver(SparseMatrix(a, NATIONS, NATIONS), SolverConfig(factor="lu", ordering="minimum_degree", block=64)) if kind == "lu" else None
-        b = products.generated_rhs(a, NATIONS, side)
-        if solver:
-            return _rounded(solver.solve(b))
-        analysis = checkpoint(graph.analyse(a, NATIONS, "minimum_degree", small=64))
+        a, n = _system(spark, d)
+        b = products.generated_rhs(a, n, side)
+        if kind == "lu":
+            return _rounded(SparseSolver(SparseMatrix(a, n, n), SolverConfig(factor="lu", ordering="minimum_degree", block=64)).solve(b))
+        analysis = checkpoint(graph.analyse(a, n, "minimum_degree", small=64))
         return _rounded(solve_factored(factorise(a, analysis, kind), analysis, b, kind))
 
     return run
@@ -495,11 +535,70 @@ query(INDEX, name="ldlt_solve")(_direct("ldlt", "i"))
 query(ONES, name="lu_solve")(_direct("lu", "1"))
 
 
-@query(INDEX)
+@query(f"SELECT k AS i, r AS rhs, (k * r)::DOUBLE AS x FROM (SELECT unnest(range(1, {TREE_SQL} + 1)) AS k), (SELECT unnest(range(1, 4)) AS r)")
+def solve_many(spark, d):
+    """Three right-hand sides in one sweep."""
+    a, n = _system(spark, d)
+    b = products.generated_rhs(a, n, "i").select("i", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<bigint>")).alias("rhs"), "x")
+    solver = SparseSolver(SparseMatrix(a, n, n), SolverConfig(ordering="minimum_degree"))
+    return _rounded(solver.solve(b.withColumn("x", F.col("x") * F.col("rhs"))))
+
+
+def _complex(hermitian: bool):
+    def run(spark, d):
+        """The tree with imaginary parts: i on ties below the diagonal, -i above where Hermitian."""
+        lower, n = tree(spark, d)
+        turned = lower.select("i", "j", complexes.make(F.col("v"), F.when(F.col("i") > F.col("j"), 0.5).otherwise(F.lit(0.0 if hermitian else 1.0))).alias("v"))
+        matrix = SparseMatrix(checkpoint(turned), n, n, "hermitian" if hermitian else "symmetric")
+        full = matrix.full().entries
+        x = complexes.make(F.col("j").cast("double"), F.lit(-2.0))
+        b = full.select("i", complexes.multiply(F.col("v"), x).alias("p")).groupBy("i").agg(complexes.total(F.col("p")).alias("x"))
+        config = SolverConfig(factor="ldlh" if hermitian else "lu", ordering="minimum_degree")
+        found = ComplexSolver(matrix, config).solve(checkpoint(b))
+        return found.select("i", F.round(F.col("x")["re"], 6).alias("re"), F.round(F.col("x")["im"], 6).alias("im"))
+
+    return run
+
+
+for _name, _hermitian in (("complex_lu_solve", False), ("hermitian_ldlh_solve", True)):
+    query(f"SELECT k AS i, k::DOUBLE AS re, -2.0::DOUBLE AS im FROM (SELECT unnest(range(1, {TREE_SQL} + 1)) AS k)", name=_name)(_complex(_hermitian))
+
+
+@query("SELECT sum(v * v + i * j)::DOUBLE AS re, sum(v * j - i * v)::DOUBLE AS im FROM s", S_SQL)
+def complex_dot(spark, d):
+    """conj(v + i sqrt(-1)) (v + j sqrt(-1)), summed."""
+    s = checkpoint(S(spark, d).withColumn("k", F.col("i") * 100 + F.col("j")))
+    side = lambda c: s.select(F.col("k").alias("i"), complexes.make(F.col("v"), F.col(c)).alias("x"))
+    return complexes.dot(side("i"), side("j")).select("dot.re", "dot.im")
+
+
+FLOPS_SQL = {
+    "llt": "{m} * (l * l * l / 6.0 + l * l / 2.0 + l / 3.0) + {p} * (l * l * l / 6.0 - l / 6.0) + ({m} + {p}) * (g * l * (l + 1) / 2.0 + q * l)",
+    "lu": "{m} * (l * l * l / 3.0 + 2 * l / 3.0) + {p} * (l * l * l / 3.0 - l * l / 2.0 + l / 6.0) + 2 * ({m} + {p}) * (g * l * (l + 1) / 2.0 + q * l)",
+}
+for _kind in ("llt", "lu", "zllt", "zlu"):
+    _m, _p = (6, 2) if _kind[0] == "z" else (1, 1)
+    query(
+        f"SELECT o_custkey, round({FLOPS_SQL[_kind.removeprefix('z')].format(m=_m, p=_p)}, 3) AS flops FROM b",
+        "h AS (SELECT o_custkey, l_linenumber AS n, sum(l_linenumber) OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+        "b AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS l, CAST(sum(n) AS DOUBLE) AS g, CAST(sum(n * m) AS DOUBLE) AS q FROM h GROUP BY 1)",
+        name=f"flops_{_kind}",
+    )(lambda spark, d, kind=_kind: _flops(spark, d, kind))
+
+
+def _flops(spark, d, kind: str):
+    """A customer's lines as a column block: as many columns as lines, a block below it of each line's number."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    blocks = lines.groupBy("o_custkey").agg(F.count("*").alias("l"), F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_linenumber"]).alias("heights"))
+    return blocks.select("o_custkey", F.round(cost.flops(kind), 3).alias("flops"))
+
+
+@query(f"SELECT k AS i, k::DOUBLE AS x FROM (SELECT unnest(range(1, {TREE_SQL} + 1)) AS k)")
 def lu_transposed_solve(spark, d):
-    a = checkpoint(structure.scale_rows(_banded(spark, d), index_vector(spark, NATIONS)))
-    b = products.multiply_vector(a, index_vector(spark, NATIONS), transposed=True)
-    solver = SparseSolver(SparseMatrix(a, NATIONS, NATIONS), SolverConfig(ordering="minimum_degree"))
+    a, n = _system(spark, d)
+    a = checkpoint(structure.scale_rows(a, index_vector(spark, n)))
+    b = products.multiply_vector(a, index_vector(spark, n), transposed=True)
+    solver = SparseSolver(SparseMatrix(a, n, n), SolverConfig(ordering="minimum_degree"))
     return _rounded(solver.solve(b, transposed=True))
 
 
@@ -521,8 +620,8 @@ def factor_parts(spark, d):
 
 def _iterative(method, precondition: bool):
     def run(spark, d):
-        a = _banded(spark, d)
-        b = products.generated_rhs(a, NATIONS, "1")
+        a, n = _system(spark, d)
+        b = products.generated_rhs(a, n, "1")
         m = krylov.jacobi(a) if precondition else krylov.identity
         x, _ = method(a, b, m, max_iterations=40, epsilon=1e-9)
         return x.select("i", F.round("x", 5).alias("x"))
@@ -543,9 +642,9 @@ def cg_laplacian(spark, d):
 
 @query(ONES)
 def pivot_refinement(spark, d):
-    a = _banded(spark, d)
-    b = products.generated_rhs(a, NATIONS, "1")
-    solver = SparseSolver(SparseMatrix(a, NATIONS, NATIONS), SolverConfig(refinement="pivot", ordering="minimum_degree"))
+    a, n = _system(spark, d)
+    b = products.generated_rhs(a, n, "1")
+    solver = SparseSolver(SparseMatrix(a, n, n), SolverConfig(refinement="pivot", ordering="minimum_degree"))
     return _rounded(solver.refine(b))
 
 

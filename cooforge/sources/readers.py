@@ -248,22 +248,6 @@ def parse_petsc(data: bytes) -> list[pd.DataFrame]:
     return [_meta(int(n), int(m), each == 2), _rows("a", rows, cols, values[: each * count : each].astype(float), values[1 : 2 * count : 2].astype(float) if each == 2 else None)]
 
 
-def parse_dupros(data: bytes) -> list[pd.DataFrame]:
-    """Little-endian records: an 8-letter name, a count of 8 bytes, and values; MATA01 has (i, j) as int64 and values as double."""
-    at, found = 0, {}
-    while at + 16 <= len(data):
-        name, count = data[at : at + 8].decode().strip(), int(np.frombuffer(data, "<i8", 1, at + 8)[0])
-        found[name] = (at + 16, count)
-        at += 16 + count * (24 if name == "MATA01" else 8)
-    start, count = found["MATA01"]
-    table = np.frombuffer(data, np.dtype([("i", "<i8"), ("j", "<i8"), ("v", "<f8")]), count, start)
-    out = [_meta(int(table["i"].max(initial=0)), int(table["j"].max(initial=0))), _rows("a", table["i"], table["j"], table["v"])]
-    if "RHS01" in found:
-        start, count = found["RHS01"]
-        out.append(_rows("b", np.arange(1, count + 1), 0, np.frombuffer(data, "<f8", count, start)))
-    return out
-
-
 SYMMETRY = {0: "general", 1: "symmetric", 2: "hermitian", 3: "general"}
 
 
@@ -273,8 +257,11 @@ def _parsed(spark: SparkSession, paths, parse) -> tuple[SparseMatrix, DataFrame
             for content in batch["content"]:
                 yield from parse(bytes(content))
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    found = checkpoint(files.mapInPandas(run, ENTRIES))
+    return _entries(spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, ENTRIES))
+
+
+def _entries(rows: DataFrame) -> tuple[SparseMatrix, DataFrame | None]:
+    found = checkpoint(rows)
     meta = found.where("kind = 'meta'").agg(F.max("i").alias("n"), F.max("j").alias("m"), F.max("im").alias("c"), F.max("v").alias("s")).first()
     value = F.struct(F.col("v").alias("re"), "im").alias("v") if meta["c"] else F.col("v")
     entries = found.where("kind = 'a'").select("i", "j", value)
@@ -320,6 +307,26 @@ def peer(spark: SparkSession, path: str) -> tuple[SparseMatrix, DataFrame | None
     return _parsed(spark, [n if n.startswith("/") else f"{folder}/{n}" for n in names], parse_local_columns)
 
 
+def dupros(spark: SparkSession, folder: str, part: int = 1) -> tuple[SparseMatrix, DataFrame]:
+    """A folder of little-endian binary files, symmetric: MATA01, COORD01 and ZRHS01 (or the numbers of another part).
+
+    MATA: order and count as 32-bit integers, then the values; COORD: two 32-bit
+    integers, all columns, then all rows; ZRHS: a count, then the right-hand side.
+    """
+    files = spark.read.format("binaryFile").load([f"{folder}/{name}{part:02d}" for name in ("MATA", "COORD", "ZRHS")])
+
+    def run(batches):
+        data = {path.rsplit("/", 1)[1][:4]: bytes(content) for batch in batches for path, content in zip(batch["path"], batch["content"])}
+        n, count = (int(x) for x in np.frombuffer(data["MATA"], "<i4", 2))
+        at = np.frombuffer(data["COOR"], "<i4", 2 * count, 8).astype(np.int64)
+        b = np.frombuffer(data["ZRHS"], "<f8", int(np.frombuffer(data["ZRHS"], "<i4", 1)[0]), 4)
+        yield _meta(n, n, symmetry=1)
+        yield _rows("a", at[count:], at[:count], np.frombuffer(data["MATA"], "<f8", count, 8))
+        yield _rows("b", np.arange(1, n + 1), 0, b[:n])
+
+    return _entries(files.select("path", "content").coalesce(1).mapInPandas(run, ENTRIES))
+
+
 def stored(spark: SparkSession, folder: str) -> tuple[SparseMatrix, DataFrame | None]:
     """What ``writers.save_parquet`` wrote."""
     meta = spark.read.parquet(f"{folder}/meta").first()
@@ -336,7 +343,7 @@ READERS = {
     "mm": matrix_market, "mmd": distributed_matrix_market, "ijv": ijv, "three_files": three_files, "mumps": mumps,
     "hb": _of(parse_harwell_boeing), "rsa": _of(parse_harwell_boeing), "chb": _of(parse_harwell_boeing),
     "ccc": ccc, "rcc": lambda spark, path: ccc(spark, path, real=True), "olaf": _of(parse_olaf), "peer": peer, "cscd": distributed_columns,
-    "csc": _of(parse_csc_text), "petsc": _of(parse_petsc), "fdupros": _of(parse_dupros), "parquet": stored,
+    "csc": _of(parse_csc_text), "petsc": _of(parse_petsc), "fdupros": dupros, "parquet": stored,
 }
 
 

@@ -167,9 +167,12 @@ def test_config():
 
 
 def test_flops(spark):
-    row = spark.range(1).select(F.lit(3).alias("l"), F.lit(2).alias("g")).select(cost.flops("lu").alias("lu"), cost.flops("llt").alias("llt")).first()
-    below = [2, 3, 4]  # entries under the diagonal of the three columns
-    assert row["lu"] == sum(m + 2 * m * m for m in below) and row["llt"] == sum(1 + 2 * m + m * m for m in below)
+    row = spark.range(1).select(F.lit(3).alias("l"), F.array(F.lit(2), F.lit(4)).alias("heights")).select(*[cost.flops(k).alias(k) for k in ("llt", "lu", "zllt", "zlu")]).first()
+    solve, product = 3 * 4 / 2 * 6, 3 * (2 * 6 + 4 * 4)  # multiplications; each with as many additions
+    assert np.isclose(row["llt"], 10 + 4 + 2 * (solve + product)) and np.isclose(row["zllt"], 6 * 10 + 2 * 4 + 8 * (solve + product))
+    assert np.isclose(row["lu"], 11 + 5 + 4 * (solve + product)) and np.isclose(row["zlu"], 6 * 11 + 2 * 5 + 16 * (solve + product))
+    one = spark.range(1).select(F.lit(1).alias("l"), F.array(F.lit(2)).alias("heights")).select(cost.flops("llt").alias("x")).first()
+    assert one["x"] == 13
 
 
 # Sources
@@ -188,6 +191,14 @@ def test_matrix_market(spark, tmp_path):
         readers.banner("%%MatrixMarket matrix array pattern general")
 
 
+def test_dupros(spark, tmp_path):
+    (tmp_path / "MATA01").write_bytes(struct.pack("<2i4d", 3, 4, 2.0, -1.0, 3.0, 4.0))
+    (tmp_path / "COORD01").write_bytes(struct.pack("<2i8i", 3, 4, 1, 1, 2, 3, 1, 3, 2, 3))
+    (tmp_path / "ZRHS01").write_bytes(struct.pack("<i3d", 3, 7.0, 8.0, 9.0))
+    m, b = readers.load_matrix(spark, str(tmp_path), "fdupros")
+    assert m.symmetry == "symmetric" and (dense(m.full().entries, 3) == [[2, 0, -1], [0, 3, 0], [-1, 0, 4]]).all() and vector(b, 3).tolist() == [7, 8, 9]
+
+
 def test_harwell_boeing(spark, tmp_path):
     m = sample(6, 1, True)
     lower = SparseMatrix(entries(spark, np.tril(m)), 6, 6, "symmetric")
