@@ -15,8 +15,9 @@ query's own id can use; so a vector that makes up a third of the rows costs no
 more than any other. Ties go to smaller
 ids. Null vectors, and those with null or non-finite components, take no part,
 nor do null ids. Vectors of another length than the query's are no candidates.
-Rows that repeat an id count as the query itself. Scores are exact while
-|q| |p| < 2^53.
+Candidates that repeat the query's id count as the query itself; each query row
+has a list of its own. Scores are exact while |q| |p| < 2^53; a block with
+larger vectors raises an error.
 """
 
 from __future__ import annotations
@@ -99,6 +100,8 @@ class Block:
         _, first, same = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}") if vectors.shape[1] else np.zeros(len(ids)), return_index=True, return_inverse=True)
         same = same.ravel()
         distinct = vectors[first].astype(np.float64)
+        if len(distinct) and (distinct**2).sum(axis=1).max() >= 2.0**53:
+            raise ValueError("a vector's squared length is 2^53 or more: scores would not be exact")
         self.tree = CoverTree(distinct)
         place = np.empty(len(distinct), np.int64)
         place[self.tree.order] = np.arange(len(distinct))
@@ -215,23 +218,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     def lists(best):
         rows, cols = np.nonzero(~np.isneginf(best.score))
-        return pd.DataFrame({"query_id": best.queries.ids[rows], "vec_id": best.id[rows, cols], "score": best.score[rows, cols].astype(np.int64)})
+        return pd.DataFrame({"query_id": best.queries.ids[rows], "place": rows, "vec_id": best.id[rows, cols], "score": best.score[rows, cols].astype(np.int64)})
 
     def run(batches):
-        best = None
+        best, block = None, None
         for batch in batches:
-            for tree, side in zip(batch["tree"], batch["side"]):
+            for tree, side, dim, number in zip(batch["tree"], batch["side"], batch["dim"], batch["qblock"]):
                 if side == 0:
                     if best is not None:
-                        yield lists(best)
-                    best = Best(pickle.loads(tree), k)
+                        yield lists(best).assign(dim=block[0], qblock=block[1])
+                    best, block = Best(pickle.loads(tree), k), (dim, number)
                 else:
                     best.search(pickle.loads(tree))
         if best is not None:
-            yield lists(best)
+            yield lists(best).assign(dim=block[0], qblock=block[1])
 
-    found = streams.select("side", "tree").mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = streams.select("side", "tree", "dim", "qblock").mapInPandas(run, "query_id long, place long, vec_id long, score long, dim int, qblock int")
+    order = Window.partitionBy("dim", "qblock", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -380,6 +380,17 @@ def test_top_k_with_a_repeated_id(spark):
     assert [r["vec_id"] for r in other] == [0] * 20
 
 
+def test_top_k_lists_of_rows_of_one_id(spark):
+    """Two query rows of one id have a list each; vectors too long for exact scores are refused."""
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 64)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, vectors.where("vec_id = 0"), 20).collect())
+    assert got == [(1, 1, 2 * 3 * 4096), (1, 2, 2 * 3 * 4096), (2, 1, 3 * 4096), (2, 2, 3 * 4096)]
+    huge = topk.integer_vectors(spark.createDataFrame([(0, [3e9, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>"), 64)
+    with pytest.raises(Exception, match="not be exact"):
+        topk.top_k(huge, huge, 2).collect()
+
+
 # 5: shards
 
 
