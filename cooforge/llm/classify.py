@@ -26,6 +26,8 @@ from .common import WordHash, crc_of_id, free_name, labelled_sample, map_texts,
 MAX_ROWS, MAX_CHARS = 5000, 20_000
 #: Every so many-th row of the sample stays out of the toxicity fit and calibrates its thresholds.
 ASIDE = 5
+#: A toxic document let through weighs as much as so many clean ones rejected.
+MISS = 2
 
 
 def sigmoid(x):
@@ -176,22 +178,32 @@ class ConvolutionalFilter:
             self.weights[w * self.filters : (w + 1) * self.filters] = [0.5, 0.3, 0.3, 0.3, 0.3, *[0.05] * (self.filters - 5)]
 
     def calibrate(self, texts: list, labels: np.ndarray, languages: list, least: int = 30, low: float = 0.3, high: float = 0.7) -> ConvolutionalFilter:
-        """A threshold for each language: the cut with the fewest errors, nearest to one half, within bounds.
+        """Move the scores up where a cut under one half has the least loss, so that it becomes one half; then find a threshold for each language.
 
-        Languages with under ``least`` examples of either label keep one half.
+        Of equal cuts the nearest to one half counts, thresholds stay within ``low``
+        and ``high``. Both take ``least`` examples of either label, else one half stays.
         """
-        scores, languages = self.score(texts), np.array([str(x) for x in languages], dtype=object)
+        languages = np.array([str(x) for x in languages], dtype=object)
+        if min(labels.sum(), len(labels) - labels.sum()) < least:
+            return self
+        cut = _best_cut(self.score(texts), labels, 0.2, 0.5)
+        self.prior -= float(np.log(cut / (1 - cut)))
+        scores = self.score(texts)
         for language in sorted(set(languages)):
             s, y = scores[languages == language], labels[languages == language]
-            if min(y.sum(), len(y) - y.sum()) < least:
-                continue
-            cuts = np.unique(np.concatenate([np.linspace(low, high, 41), [0.5]]))
-            wrong = np.array([((s >= c) != (y == 1)).sum() for c in cuts])
-            best = cuts[wrong == wrong.min()]
-            self.thresholds[language] = float(best[np.argmin(np.abs(best - 0.5))])
+            if min(y.sum(), len(y) - y.sum()) >= least:
+                self.thresholds[language] = _best_cut(s, y, low, high)
         return self
 
 
+def _best_cut(scores: np.ndarray, labels: np.ndarray, low: float, high: float) -> float:
+    """The cut with the least loss, a miss counting MISS times a false alarm; of equal ones the nearest to one half."""
+    cuts = np.unique(np.concatenate([np.linspace(low, high, 41), [0.5]]))
+    loss = np.array([MISS * ((scores < c) & (labels == 1)).sum() + ((scores >= c) & (labels != 1)).sum() for c in cuts])
+    best = cuts[loss == loss.min()]
+    return float(best[np.argmin(np.abs(best - 0.5))])
+
+
 class StemHash(WordHash):
     """Two 16-bit hashes each of two beginnings of a word (by default, one and the whole word)."""
 
