@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .plans.lineage import checkpoint
 from .plans.matrix import SparseMatrix, from_table
 from .plans.solver import ComplexSolver, SparseSolver
 from .sources.readers import laplacian, load_matrix
-from .sources.writers import csc_text_lines, matrix_market_lines, save_parquet
+from .sources.writers import csc_text_lines, harwell_boeing_text, matrix_market_lines, save_parquet
 
 NATIONS = 25
 A_SQL = "a AS (SELECT l_partkey + 1 AS i, l_suppkey + 1 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
@@ -702,6 +703,89 @@ def csc_text_lines_count(spark, d):
     return csc_text_lines(SparseMatrix(checkpoint(S(spark, d)), NATIONS, NATIONS)).agg(F.count("*").alias("lines"))
 
 
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of exchange size, in any file system that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _columns_of(spark, d):
+    """S as arrays, by columns: rows, columns, values, pointers. At most 625 entries at any scale."""
+    found = sorted((r["j"], r["i"], r["v"]) for r in S(spark, d).collect())
+    j, i, v = (np.array(c) for c in zip(*found))
+    return i.astype(np.int64), j.astype(np.int64), v.astype(float), np.append(np.searchsorted(j, np.arange(1, NATIONS + 1)), len(j)) + 1
+
+
+def _text(*columns) -> bytes:
+    return "".join(" ".join(str(x) for x in row) + "\n" for row in zip(*columns)).encode()
+
+
+def _files(fmt: str, i, j, v, ptr) -> dict[str, bytes]:
+    """S in a format, by file name ("" where the format is one file)."""
+    n, count = NATIONS, len(v)
+    if fmt in ("three_files", "mumps"):
+        ends = ("ia_threeFiles", "ja_threeFiles", "ra_threeFiles") if fmt == "three_files" else ("ia_mumps", "ja_mumps", "ra_mumps")
+        return {"header": f"{n} {n} {count}\n".encode(), **{name: _text(c) for name, c in zip(ends, (i, j, v))}}
+    if fmt == "ijv":
+        return {"": _text(i, j, v)}
+    if fmt == "olaf":
+        return {"": b"".join([f"{n}\n{count}\n".encode(), _text(ptr), _text(i), _text(v)])}
+    if fmt == "petsc":  # by rows
+        by = np.lexsort((j, i))
+        parts = [np.array([1211216, n, n, count], ">i4"), np.bincount(i, minlength=n + 1)[1:].astype(">i4"), (j[by] - 1).astype(">i4"), v[by].astype(">f8")]
+        return {"": b"".join(x.tobytes() for x in parts)}
+    if fmt == "fdupros":
+        two = np.array([n, count], "<i4").tobytes()
+        return {"MATA01": two + v.astype("<f8").tobytes(), "COORD01": two + np.concatenate([j, i]).astype("<i4").tobytes(), "ZRHS01": np.array([n], "<i4").tobytes() + np.ones(n, "<f8").tobytes()}
+    raise ValueError(fmt)
+
+
+def _read_back(fmt: str):
+    def run(spark, d):
+        path = _scratch(spark)
+        for name, data in _files(fmt, *_columns_of(spark, d)).items():
+            _put(spark, f"{path}/{name}" if name else path, data)
+        return load_matrix(spark, path, fmt, rhs=False)[0].entries
+
+    return run
+
+
+for _fmt in ("three_files", "mumps", "ijv", "olaf", "petsc", "fdupros"):
+    query("SELECT i, j, v FROM s", S_SQL, name=f"read_{_fmt}")(_read_back(_fmt))
+
+
+@query("SELECT i, j, v FROM s", S_SQL)
+def harwell_boeing_round_trip(spark, d):
+    path = _scratch(spark)
+    _put(spark, path, harwell_boeing_text(SparseMatrix(S(spark, d), NATIONS, NATIONS)).encode())
+    return load_matrix(spark, path, "hb", rhs=False)[0].entries
+
+
+@query("SELECT i, j, v FROM s WHERE i >= j", S_SQL)
+def check_matrix_lower(spark, d):
+    """Both triangles of a symmetric matrix, as many entries in each: the lower one stays."""
+    lower = checkpoint(structure.lower_triangle(S(spark, d)))
+    return partition.check_matrix(structure.expand_symmetric(lower), True).entries
+
+
+@query(f"SELECT count(*) AS columns, count(*) - 1 AS ties, {TREE_SQL} AS n FROM (SELECT unnest(range(1, {TREE_SQL} + 1)))")
+def postorder_tree(spark, d):
+    """Every column stands once and, regions apart, under a later one: the tree's ties and its five roots make n."""
+    lower, n = tree(spark, d)
+    found = graph.analyse(lower, n, "minimum_degree")
+    return found.agg(F.countDistinct("new").alias("columns"), (F.count(F.when(F.col("parent") > F.col("new"), 1)) + F.count(F.when(F.col("parent") == 0, 1)) - 1).alias("ties"), F.max("old").alias("n"))
+
+
+@query(f"SELECT sum(l * (l + 1) / 2 + g * l - l)::DOUBLE AS off_diagonal FROM (SELECT 1 AS l, 1 AS g FROM (SELECT unnest(range(1, {TREE_SQL} + 1 - 5))))")
+def tree_factor_entries(spark, d):
+    """A tree in an order from its leaves fills nothing: one entry under the diagonal for each tie."""
+    lower, n = tree(spark, d)
+    pattern = graph.exact_pattern(checkpoint(graph.analyse(lower, n, "minimum_degree")))
+    return pattern.where("i > j").agg(F.count("*").cast("double").alias("off_diagonal"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
     import uuid
