@@ -98,15 +98,16 @@ def factorise(a: DataFrame, analysis: DataFrame, kind: str = "lu", epsilon: floa
     moved = permute(full, analysis.select("old", "new")).withColumn("_col", F.least("i", "j"))
     waiting: dict[int, list[DataFrame]] = {}
     _to_levels(waiting, moved.join(block_of, "_col").select("level", "cblk", "i", "j", "v"))
-    fronts = []
-    for level in range(1 + analysis.agg(F.max("level")).first()[0]):
+    fronts, depth = [], analysis.agg(F.max("level")).first()[0]
+    for level in range(depth + 1):
         own = ranges.where(F.col("level") == level)
         anchor = own.select("cblk", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
         summed = _together([*waiting.pop(level, []), anchor]).groupBy("cblk", "i", "j").agg(F.sum("v").alias("v"))
         done = checkpoint(summed.join(own, "cblk").groupBy("cblk").applyInPandas(_front(kind, epsilon), FRONT))
-        updates = done.where("dest > 0").select(F.col("dest").alias("_col"), F.explode(F.arrays_zip("ui", "uj", "uv")).alias("u"))
-        updates = updates.join(block_of, "_col").select("level", "cblk", F.col("u.ui").alias("i"), F.col("u.uj").alias("j"), F.col("u.uv").alias("v"))
-        _to_levels(waiting, updates)
+        if level < depth:  # the blocks of the last level are roots
+            updates = done.where("dest > 0").select(F.col("dest").alias("_col"), F.explode(F.arrays_zip("ui", "uj", "uv")).alias("u"))
+            updates = updates.join(block_of, "_col").select("level", "cblk", F.col("u.ui").alias("i"), F.col("u.uj").alias("j"), F.col("u.uv").alias("v"))
+            _to_levels(waiting, updates)
         fronts.append(done.drop("ui", "uj", "uv"))
     return _together(fronts)
 
@@ -182,7 +183,8 @@ def solve_factored(fronts: DataFrame, analysis: DataFrame, b: DataFrame, kind: s
     for level in range(depth + 1):
         out = sweep(level, waiting.pop(level, []), True)
         backward[level] = [out.where("own = 1").join(where.where(F.col("level") == level), "i").select("to", "i", "rhs", "x")]
-        _to_levels(waiting, out.where("own = 0").join(where, "i").select("level", "to", "i", "rhs", "x"))
+        if level < depth:
+            _to_levels(waiting, out.where("own = 0").join(where, "i").select("level", "to", "i", "rhs", "x"))
     # which fronts need a column above them, dealt by the level of that column
     needs = fronts.select("level", F.col("cblk").alias("to"), F.explode("rows").alias("i"))
     needs = dealt(needs.join(where.select("i", F.col("level").alias("source")), "i"), "source")
