@@ -368,6 +368,31 @@ def test_top_k_on_odd_rows(spark, monkeypatch):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_ships_only_blocks_that_may_hold_an_answer(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "PACK", 3)
+    monkeypatch.setattr(topk, "PORTION", 2)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 8
+    points = np.concatenate([centres[rng.integers(0, 12, 400)] + rng.normal(size=(400, 6)) * 0.1, np.repeat(centres[:1], 200, axis=0)])
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 64)
+    queries = vectors.where("vec_id % 20 = 0")
+    made = []
+    kept = topk._pairs
+    monkeypatch.setattr(topk, "_pairs", lambda seeded, data: made.append((seeded.count(), data.count(), kept(seeded, data))) or made[-1][2])
+    found = sorted(tuple(r) for r in topk.top_k(vectors, queries, 5).collect())
+    v = {r["vec_id"]: np.array(r["v"], np.int64) for r in vectors.collect()}
+    expected = []
+    for q in range(0, 600, 20):
+        best = sorted((-int(v[q] @ v[p]), p) for p in v if p != q)[:5]
+        expected += [(q, n, p, -s) for n, (s, p) in enumerate(best, 1)]
+    assert found == expected
+    asked, held, pairs = made[0]
+    assert held > 12 and pairs.count() < asked * held / 2
+
+
 def test_top_k_with_a_repeated_id(spark):
     """An id on 30 rows among equal vectors: the query's own rows take no places from the others."""
     rows = [(0, [1.0, 2.0])] * 30 + [(i, [1.0, 2.0]) for i in range(1, 26)] + [(20, [1.0, 2.0])] * 29
