@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import running_sum
+
 
 def explode_blocks(blocks: DataFrame, dof: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(i, j, values array of dof * dof) to scalar entries, nodes and entries from 1."""
@@ -28,9 +30,5 @@ def node_unknowns(nodes: DataFrame, dof: int) -> DataFrame:
 
 
 def offsets(dofs: DataFrame) -> DataFrame:
-    """(node, dof) with the first unknown of each node, for a varying dof.
-
-    One ordered window over the node table; nodes are far fewer than entries.
-    """
-    before = F.sum("dof").over(Window.orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
-    return dofs.withColumn("first", F.coalesce(before, F.lit(0)) + 1)
+    """(node, dof) with the first unknown of each node, for a varying dof."""
+    return running_sum(dofs, F.col("dof"), "first", "node").withColumn("first", F.col("first") + 1)

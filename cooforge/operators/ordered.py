@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import neighbour, running_sum
+
 
 def sort_within_columns(a: DataFrame) -> DataFrame:
     """Column after column, rows ascending: a range partitioning by column and a sort inside partitions."""
@@ -17,11 +19,10 @@ def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def column_pointers(a: DataFrame, n: int, base: int = 1) -> DataFrame:
-    """(j, ptr) for j = 1..n+1: where each column starts. The window runs over the n column counts."""
+    """(j, ptr) for j = 1..n+1: where each column starts. Sums run over chunks of the n column counts."""
     ids = a.sparkSession.range(1, n + 2).select(F.col("id").alias("j"))
     counts = ids.join(a.groupBy("j").agg(F.count("*").alias("c")), "j", "left")
-    before = F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("j").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("j", (F.coalesce(before, F.lit(0)) + base).alias("ptr"))
+    return running_sum(counts, F.coalesce("c", F.lit(0)), "before", "j").select("j", (F.col("before") + base).alias("ptr"))
 
 
 def least(df: DataFrame, *keys: str, k: int = 1) -> DataFrame:
@@ -56,12 +57,9 @@ def union_cost(pairs: DataFrame) -> DataFrame:
 
 
 def interval_sweep(intervals: DataFrame) -> DataFrame:
-    """(start, stop) of the pieces into which the ends of closed intervals cut the line.
-
-    The window runs over the distinct ends of one partition key's intervals.
-    """
+    """(start, stop) of the pieces into which the ends of closed intervals cut the line."""
     ends = intervals.select(F.explode(F.array("first", F.col("last") + 1)).alias("start")).distinct()
-    return ends.select("start", (F.lead("start").over(Window.orderBy("start")) - 1).alias("stop")).where("stop IS NOT NULL")
+    return neighbour(ends, "start", "next", "start", 1).select("start", (F.col("next") - 1).alias("stop")).where("stop IS NOT NULL")
 
 
 def split_ranges(ranges: DataFrame, block: int) -> DataFrame:

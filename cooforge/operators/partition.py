@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.numbering import row_numbers
 from .norms import diagonal_counts
 from .products import merge_duplicates
 from .structure import lower_triangle, missing_mirrors, rebase, symmetrize_pattern
@@ -61,18 +62,17 @@ def element_owner(elements: DataFrame, owners: DataFrame) -> DataFrame:
 def balance_elements(assigned: DataFrame, parts: int) -> DataFrame:
     """(element, owner) moved from crowded owners to others until counts differ by one at most.
 
-    Elements keep their owner up to its quota; the surplus fills the free places in order. The windows run over
-    an owner's elements and over the surplus.
+    Elements keep their owner up to its quota; the surplus fills the free places in order.
     """
     total = assigned.count()
     quota = F.floor(F.lit(total) / parts) + (F.col("owner") < total % parts).cast("int")
-    ranked = assigned.withColumn("_k", F.row_number().over(Window.partitionBy("owner").orderBy("element")))
+    ranked = row_numbers(assigned, "_k", "element", within=("owner",))
     kept = ranked.where(F.col("_k") <= quota).select("element", "owner")
-    surplus = ranked.where(F.col("_k") > quota).select("element", F.row_number().over(Window.orderBy("owner", "element")).alias("_place"))
+    surplus = row_numbers(ranked.where(F.col("_k") > quota).select("owner", "element"), "_place", "element", first=("owner",)).select("element", "_place")
     owners = assigned.sparkSession.range(parts).select(F.col("id").cast("int").alias("owner"))
     have = kept.groupBy("owner").agg(F.count("*").alias("c"))
     free = owners.join(have, "owner", "left").withColumn("free", (quota - F.coalesce("c", F.lit(0))).cast("int")).where("free > 0")
-    places = free.select("owner", F.explode(F.sequence(F.lit(1), "free")).alias("f")).select("owner", F.row_number().over(Window.orderBy("owner", "f")).alias("_place"))
+    places = row_numbers(free.select("owner", F.explode(F.sequence(F.lit(1), "free")).alias("f")), "_place", "f", first=("owner",)).select("owner", "_place")
     return kept.unionByName(surplus.join(places, "_place").select("element", "owner"))
 
 

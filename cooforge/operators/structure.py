@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import row_numbers
+
 
 def _also(df: DataFrame, *known: str) -> list[str]:
     return [c for c in df.columns if c not in known]
@@ -67,8 +69,10 @@ def invert_permutation(p: DataFrame) -> DataFrame:
 
 
 def random_permutation(spark, n: int, seed: int) -> DataFrame:
-    """(old, new) over 1..n in random order."""
-    return spark.range(1, n + 1).select(F.col("id").alias("old"), F.row_number().over(Window.orderBy(F.rand(seed), "id")).cast("long").alias("new"))
+    """(old, new) over 1..n in random order, that of a hash of seed and index; the hash's range is cut as indices would be."""
+    chance = F.xxhash64(F.lit(seed), "id")
+    place = F.floor((chance / 2.0**63 + 1) / 2 * n)
+    return row_numbers(spark.range(1, n + 1).select(F.col("id").alias("old"), chance.alias("_chance"), place.alias("_place")), "new", "_place", then=("_chance", "old")).select("old", "new")
 
 
 def _permuted(a: DataFrame, p: DataFrame, side: str) -> DataFrame:
@@ -214,20 +218,20 @@ def weak_columns(a: DataFrame, n: int, epsilon: float) -> DataFrame:
 def split_weak_diagonal(a: DataFrame, n: int, epsilon: float) -> DataFrame:
     """(old, new, weak): a permutation that moves weak columns to the end, order kept in both classes."""
     flagged = weak_columns(a, n, epsilon)
-    return flagged.select(F.col("j").alias("old"), F.row_number().over(Window.orderBy("weak", "j")).cast("long").alias("new"), "weak")
+    return row_numbers(flagged, "new", "j", first=("weak",)).select(F.col("j").alias("old"), "new", "weak")
 
 
 def isolate(n: int, chosen: DataFrame) -> DataFrame:
     """(old, new, chosen): a permutation of 1..n that moves the chosen unknowns (column i) to the end."""
     ids = chosen.sparkSession.range(1, n + 1).select(F.col("id").alias("i"))
     flagged = ids.join(chosen.select("i", F.lit(True).alias("c")).distinct(), "i", "left").select("i", F.coalesce("c", F.lit(False)).alias("chosen"))
-    return flagged.select(F.col("i").alias("old"), F.row_number().over(Window.orderBy("chosen", "i")).cast("long").alias("new"), "chosen")
+    return row_numbers(flagged, "new", "i", first=("chosen",)).select(F.col("i").alias("old"), "new", "chosen")
 
 
 def induced(a: DataFrame, split: DataFrame, flag: str, value: bool) -> DataFrame:
     """The submatrix among the unknowns whose ``flag`` in (old, new, flag) is ``value``, renumbered from 1."""
-    own = split.where(F.col(flag) == F.lit(value)).select("old", F.row_number().over(Window.orderBy("new")).cast("long").alias("new"))
-    return permute(a, own)
+    own = split.where(F.col(flag) == F.lit(value)).select("old", F.col("new").alias("_at"))
+    return permute(a, row_numbers(own, "new", "_at").select("old", "new"))
 
 
 def drop_nodes(a: DataFrame, masked: DataFrame) -> DataFrame:
@@ -258,9 +262,8 @@ def column_rows(a: DataFrame, j: int) -> DataFrame:
 
 def local_numbers(owned: DataFrame) -> DataFrame:
     """(j, local): numbers from 1 of the owned columns in order, within each owner where there is one."""
-    owner = [c for c in owned.columns if c == "owner"]
-    window = Window.partitionBy(*owner).orderBy("j") if owner else Window.orderBy("j")
-    return owned.select("j", *owner, F.row_number().over(window).cast("long").alias("local"))
+    owner = tuple(c for c in owned.columns if c == "owner")
+    return row_numbers(owned.select("j", *owner), "local", "j", within=owner)
 
 
 def expand_pointers(pointers: DataFrame, indices: DataFrame, values: DataFrame | None = None) -> DataFrame:

@@ -253,3 +253,25 @@ def test_product_of_nothing(spark):
 def test_settings_that_nothing_reads_are_refused():
     with pytest.raises(ValueError, match="level_of_fill"):
         load_config(["level_of_fill = 1"])
+
+
+def test_numbers_over_chunks(spark, monkeypatch):
+    """Numbers, sums and neighbours equal those of one window, whatever the chunk; no window sees all rows."""
+    from pyspark.sql import Window
+
+    from cooforge.plans import numbering
+
+    monkeypatch.setattr(numbering, "CHUNK", 7)
+    rows = spark.range(100).where("id % 11 <> 3 AND id NOT BETWEEN 30 AND 47").select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5).alias("x"))
+    whole = Window.orderBy("g", "id")
+    want = rows.withColumn("r", F.row_number().over(whole).cast("long")).collect()
+    assert sorted(want) == sorted(numbering.row_numbers(rows, "r", "id", first=("g",)).collect())
+    own = Window.partitionBy("g").orderBy("id")
+    want = rows.withColumn("r", F.row_number().over(own).cast("long")).collect()
+    assert sorted(want) == sorted(numbering.row_numbers(rows, "r", "id", within=("g",)).collect())
+    want = rows.withColumn("s", F.coalesce(F.sum("x").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).collect()
+    assert sorted(want) == sorted(numbering.running_sum(rows, F.col("x"), "s", "id").collect())
+    for step in (-1, 1):
+        want = rows.withColumn("near", F.lag("x", -step).over(Window.orderBy("id"))).orderBy("id").collect()
+        assert want == numbering.neighbour(rows, "x", "near", "id", step).orderBy("id").collect()
+    assert not numbering.row_numbers(rows.where("false"), "r", "id").collect()
