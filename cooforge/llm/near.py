@@ -53,6 +53,8 @@ CHUNK, CHUNK_SHINGLES = 256, 1 << 21
 TURNS = 8
 #: Ids or lists that may be broadcast: 4 MB of longs.
 BROADCAST_IDS = 250_000
+#: A key held by more than one row in so many is hot; there are at most so many hot keys, so they may be broadcast.
+HOT = 4096
 #: Pairs whose signatures are compared at once.
 AT_ONCE = 1 << 15
 #: Stands for a null doc_id.
@@ -102,10 +104,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def distinct_sets(sketched: DataFrame) -> DataFrame:
-    """node (a number), print, doc_id and mark of its first row, n, sig: one row for each distinct set."""
+    """node (a number), print, doc_id and mark of its first row, copies (its rows), n, sig: one row for each distinct set."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "mark")).alias("first")
-    groups = sketched.where("n > 0").groupBy("print").agg(first, F.first("n").alias("n"), F.first("sig").alias("sig"))
-    return checkpoint(groups.select(F.monotonically_increasing_id().alias("node"), "print", "first.doc_id", "first.mark", "n", "sig"))
+    groups = sketched.where("n > 0").groupBy("print").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return checkpoint(groups.select(F.monotonically_increasing_id().alias("node"), "print", "first.doc_id", "first.mark", "copies", "n", "sig"))
 
 
 def counters(nodes: DataFrame) -> np.ndarray:
@@ -158,6 +160,19 @@ def postings(nodes: DataFrame, shared) -> DataFrame:
     return map_texts(nodes.select("node", "n", "sig"), run, "token long, node long, n int, bits long")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Written rows for one side of a join: broadcast where there are few, else dealt, and split where skewed, by Spark."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _spread(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """Inner join to a written table of unique keys that says in ``held`` how many of ``rows`` have each; hot keys stay where they are."""
+    total = keyed.agg(F.sum("held")).first()[0] or 0
+    hot = F.col("held") * HOT > total
+    often, rest = F.broadcast(keyed.where(hot).drop("held")), keyed.where(~hot).drop("held")
+    return rows.join(often, key).unionByName(rows.join(often, key, "left_anti").join(rest, key))
+
+
 def _chunks(members, size):
     """How many chunks so many members with so many shingles take."""
     return F.ceil(F.greatest(members / CHUNK, size / CHUNK_SHINGLES)).cast("long")
@@ -173,7 +188,7 @@ def inverted(nodes: DataFrame, shared) -> DataFrame:
     lists = posted.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("size")).where("members > 1")
     lists = checkpoint(lists.select("token", _chunks(F.col("members"), F.col("size")).alias("chunks")))
     wide = lists.where("chunks > 1")
-    large = posted.join(F.broadcast(wide) if wide.count() <= BROADCAST_IDS else wide, "token").select("token", "node", "n", "chunks")
+    large = posted.join(_counted(wide), "token").select("token", "node", "n", "chunks")
     whole = posted.join(lists.where("chunks = 1").select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("node", "n", "bits")).alias("members"))
     near = lambda x, y: (5 * x["n"] >= 4 * y["n"]) & (5 * y["n"] >= 4 * x["n"]) & (F.bit_count(x["bits"].bitwiseXOR(y["bits"])) <= COORDINATES - MATCHES)
     kept = F.filter("members", lambda x: F.exists("members", lambda y: (x["node"] != y["node"]) & near(x, y)))
@@ -251,9 +266,8 @@ def collisions(dealt: DataFrame, nodes: DataFrame, shared) -> DataFrame:
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, items: the full sets of the nodes of ``wanted``, read again from their texts."""
     ids = checkpoint(wanted.select("node").distinct().join(nodes.select("node", "doc_id", "mark"), "node"))
-    few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    texts = texts.join(F.broadcast(ids) if few else ids, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
+    texts = texts.join(_counted(ids), ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches):
         hashes = WordHash()
@@ -361,12 +375,13 @@ def chunked(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A component that fills chunks by itself is a unit, all others of the list are unit -1.
     """
-    alone = members.groupBy("token", "root").agg(F.count("*").alias("k"), F.sum("n").alias("size")).where(f"k >= {CHUNK} OR size >= {CHUNK_SHINGLES}").select("token", "root", F.col("root").alias("unit"))
-    dealt = members.join(alone, ["token", "root"], "left").withColumn("unit", F.coalesce("unit", F.lit(-1).cast("long")))
+    roots = members.groupBy("token", "root").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    alone = checkpoint(roots.where(f"k >= {CHUNK} OR size >= {CHUNK_SHINGLES}").select("token", "root", F.col("root").alias("unit")))
+    dealt = members.join(_counted(alone), ["token", "root"], "left").withColumn("unit", F.coalesce("unit", F.lit(-1).cast("long")))
     units = dealt.groupBy("token", "unit").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
     parts = checkpoint(units.select("token", "unit", "k", _chunks(F.col("k"), F.col("size")).alias("parts")))
     chunks = parts.select("token", "unit", (F.col("k") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    of_unit = parts.select("token", "unit", "parts")
+    of_unit = _counted(parts.select("token", "unit", "parts"))
     return chunks, dealt.join(of_unit, ["token", "unit"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
 
 
@@ -417,10 +432,14 @@ def judged(docs: DataFrame, words: int) -> DataFrame:
     """For each row doc_id, mark, n_shingles and the doc_id and mark of the first document of its component (null for empty sets)."""
     sketched = checkpoint(sketches(docs, words))
     nodes = distinct_sets(sketched)
-    placed = checkpoint(rooted(nodes.select("node", "print", "doc_id", "mark"), linked_sets(nodes, docs, words)))
-    firsts = placed.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    of_print = placed.join(firsts, "root").select("print", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
-    return sketched.join(of_print, "print", "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), "first_id", "first_mark")
+    placed = checkpoint(rooted(nodes.select("node", "print", "doc_id", "mark", "copies"), linked_sets(nodes, docs, words)))
+    firsts = checkpoint(placed.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("held")))
+    of_print = _spread(placed.select("root", "print", "copies"), firsts, "root")
+    of_print = checkpoint(of_print.select("print", F.col("copies").alias("held"), F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")))
+    rows = sketched.select("print", "doc_id", "mark", F.col("n").alias("n_shingles"))
+    known = _spread(rows.where("print IS NOT NULL"), of_print, "print").drop("print")
+    empty = rows.where("print IS NULL").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("long").alias("first_mark"))
+    return known.unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
