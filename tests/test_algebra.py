@@ -11,6 +11,7 @@ from cooforge.functions.combine import combine_all
 from cooforge.operators import graph, krylov, partition, products, structure
 from cooforge.operators.assembly import Assembly
 from cooforge.operators.factor import factor_dense, factorise, schur_complement, solve_factored
+from cooforge.operators.incomplete import incomplete, incomplete_factor
 from cooforge.plans.config import SolverConfig, load_config
 from cooforge.plans.lineage import checkpoint
 from cooforge.plans.matrix import SparseMatrix
@@ -275,3 +276,42 @@ def test_numbers_over_chunks(spark, monkeypatch):
         want = rows.withColumn("near", F.lag("x", -step).over(Window.orderBy("id"))).orderBy("id").collect()
         assert want == numbering.neighbour(rows, "x", "near", "id", step).orderBy("id").collect()
     assert not numbering.row_numbers(rows.where("false"), "r", "id").collect()
+
+
+def _incomplete(m, pattern):
+    """Plain elimination that keeps the pattern only."""
+    f = np.where(pattern, m, 0.0)
+    for k in range(len(f)):
+        for i in np.flatnonzero(pattern[k + 1 :, k]) + k + 1:
+            f[i, k] /= f[k, k]
+            f[i, k + 1 :] -= np.where(pattern[i, k + 1 :], f[i, k] * f[k, k + 1 :], 0.0)
+    return f
+
+
+@pytest.mark.parametrize("level", [0, 1, 12])
+def test_incomplete_factor_is_elimination_on_the_pattern(spark, level):
+    m = sample(12, 21, False)
+    a = checkpoint(entries(spark, m))
+    pattern = np.zeros((12, 12), bool)
+    for r in graph.fill_levels(a, level).collect():
+        pattern[r["i"] - 1, r["j"] - 1] = True
+    factor = checkpoint(incomplete_factor(a, level))
+    assert np.allclose(dense(factor, 12), _incomplete(m, pattern))
+    if level == 12:
+        assert np.allclose(m @ vector(incomplete(factor, steps=12)(rhs(spark, np.arange(1.0, 13))), 12), np.arange(1.0, 13))
+
+
+def test_incomplete_factor_preconditions(spark):
+    m = sample(12, 23, True)
+    a, b = checkpoint(entries(spark, m)), m @ np.arange(1.0, 13)
+    x, stats = krylov.conjugate_gradient(a, rhs(spark, b), incomplete(incomplete_factor(a, 1), 4), max_iterations=20, epsilon=1e-10)
+    assert np.allclose(vector(x, 12), np.arange(1.0, 13)) and stats.iterations < 12
+
+
+def test_incomplete_factor_edges(spark):
+    none = spark.createDataFrame([], "i long, j long, v double")
+    assert incomplete_factor(none).count() == 0
+    alone = incomplete(none)(rhs(spark, [2.0]))
+    assert [r["x"] for r in alone.collect()] == [2.0]
+    with pytest.raises(ArithmeticError):
+        incomplete_factor(entries(spark, np.array([[0.0, 1.0], [1.0, 0.0]])))
