@@ -23,6 +23,7 @@ class SolverConfig:
     checkpoint_every: int = 4
     repair: bool = True
     refine_only: bool = False
+    fill_level: int | None = None
 
     def checked(self, symmetry: str = "general", complex_values: bool = False) -> SolverConfig:
         """Itself, if its parts go together."""
@@ -36,6 +37,8 @@ class SolverConfig:
             raise ValueError("ldlh is for complex values")
         if self.max_iterations < 1 or self.krylov_space < 1 or self.epsilon <= 0:
             raise ValueError("iterations, Krylov space and epsilon must be positive")
+        if self.fill_level is not None and (self.fill_level < 0 or not self.refine_only):
+            raise ValueError("a level of fill is from 0 on and goes with refine_only, as the exact factor has none")
         return self
 
     def dump(self) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..functions import complexes
 from ..operators.factor import factorise, schur_complement, solve_factored
 from ..operators.graph import analyse
+from ..operators.incomplete import incomplete, incomplete_factor
 from ..operators.krylov import METHODS, jacobi, refine
 from ..operators.partition import check_matrix
 from ..operators.structure import lower_triangle
@@ -64,11 +65,14 @@ class SparseSolver:
         return solve_factored(self.factorise(), self.analyse(), b, self.config.factor, transposed)
 
     def refine(self, b: DataFrame) -> DataFrame:
-        """The configured method with the factor as preconditioner, or Jacobi's with ``refine_only``."""
+        """The configured method with the factor as preconditioner; with ``refine_only``, ILU(``fill_level``) or, without a level, Jacobi's."""
         if "rhs" in b.columns:
             return self._each(b, self.refine)
         a, c = self.check(), self.config
-        inverse = jacobi(a) if c.refine_only else lambda v: checkpoint(self.solve(v))
+        if not c.refine_only:
+            inverse = lambda v: checkpoint(self.solve(v))
+        else:
+            inverse = jacobi(a) if c.fill_level is None else incomplete(incomplete_factor(a, c.fill_level))
         more = {"space": c.krylov_space} if c.refinement == "gmres" else {}
         method = METHODS[c.refinement]
         if method is refine:

@@ -641,6 +641,14 @@ def cg_laplacian(spark, d):
     return krylov.conjugate_gradient(checkpoint(m.full().entries), b, epsilon=1e-10)[0].select("i", F.round("x", 6).alias("x"))
 
 
+@query(ONES)
+def ilu_gmres(spark, d):
+    """No exact factor: ILU(0) in the given numbering as the preconditioner."""
+    a, n = _system(spark, d)
+    solver = SparseSolver(SparseMatrix(a, n, n), SolverConfig(refinement="gmres", refine_only=True, fill_level=0, max_iterations=40, epsilon=1e-9))
+    return solver.refine(products.generated_rhs(a, n, "1")).select("i", F.round("x", 5).alias("x"))
+
+
 @query(ONES)
 def pivot_refinement(spark, d):
     a, n = _system(spark, d)

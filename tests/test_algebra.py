@@ -315,3 +315,10 @@ def test_incomplete_factor_edges(spark):
     assert [r["x"] for r in alone.collect()] == [2.0]
     with pytest.raises(ArithmeticError):
         incomplete_factor(entries(spark, np.array([[0.0, 1.0], [1.0, 0.0]])))
+
+
+def test_fill_level_goes_without_the_exact_factor():
+    assert load_config(["fill_level = 2", "refine_only = true"]).checked().fill_level == 2
+    for bad in (SolverConfig(fill_level=0), SolverConfig(fill_level=-1, refine_only=True)):
+        with pytest.raises(ValueError, match="level of fill"):
+            bad.checked()
