@@ -322,3 +322,44 @@ def test_fill_level_goes_without_the_exact_factor():
     for bad in (SolverConfig(fill_level=0), SolverConfig(fill_level=-1, refine_only=True)):
         with pytest.raises(ValueError, match="level of fill"):
             bad.checked()
+
+
+def _hubs(hubs: int, leaves: int):
+    """Pairs of stars whose hubs hang on hub 0."""
+    leaf = np.arange(leaves)
+    return np.concatenate([np.stack([np.zeros(hubs - 1, int), np.arange(1, hubs)]), np.stack([leaf % hubs, leaf + hubs])], axis=1)
+
+
+def _analysed(n, i, j, ordering, small=1):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int32)), pa.array(i), pa.array(j)], names=["kind", "i", "j"])
+    return list(graph._analysis(n, ordering, 0.0, 120, small, 1)(iter([batch])))
+
+
+def test_a_hub_is_not_counted_for_each_of_its_neighbours():
+    """Time grows with the edges also where a vertex has most of them, alone or with pairs of leaves tied (minutes before)."""
+    import time
+
+    low, high = _hubs(2, 60_000)
+    tied = np.stack([np.arange(2, 60_002, 4), np.arange(4, 60_004, 4)])
+    for pairs in (np.stack([low, high]), np.concatenate([np.stack([low, high]), tied], axis=1)):
+        began = time.monotonic()
+        found = _analysed(60_002, *(pairs + 1), "minimum_degree")
+        assert time.monotonic() - began < 15
+        old, parent = (np.concatenate([b.column(c).to_numpy() for b in found]) for c in ("old", "parent"))
+        assert len(set(old.tolist())) == 60_002 and (parent == 0).sum() == 1
+
+
+def test_an_analysis_has_no_object_for_each_vertex():
+    """A few arrays of the length of the edges: under 400 bytes a vertex here (an array for each took more)."""
+    import tracemalloc
+
+    n = 200_000
+    i, j = _hubs(20, n - 20) + 1
+    for ordering in ("rcm", "minimum_degree"):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in _analysed(n, i, j, ordering, 64))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n and peak < 400 * n
