@@ -363,3 +363,34 @@ def test_an_analysis_has_no_object_for_each_vertex():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert rows == n and peak < 400 * n
+
+
+def test_products_outside_the_pattern_are_not_made(spark):
+    """A hub before its leaves: all pairs of leaves met at it, now a term for each diagonal entry of a leaf."""
+    from cooforge.operators.incomplete import _terms
+
+    n = 3000
+    ids = spark.range(1, n + 1).select(F.col("id").alias("i"), F.col("id").alias("j"))
+    ties = ids.where("i > 1").select("i", F.lit(1).cast("long").alias("j"))
+    state = checkpoint(ids.union(ties).union(ties.select("j", "i")))
+    assert _terms(state).count() == n - 1
+
+
+def test_chains_of_triangles_bound_the_sweeps(spark):
+    from cooforge.operators.incomplete import _longest
+
+    path = spark.range(1, 5).select((F.col("id") + 1).alias("i"), F.col("id").alias("j"))
+    assert [_longest(path, 9), _longest(path, 3), _longest(path.where("i = 3"), 9), _longest(path.where("false"), 9)] == [4, 3, 1, 0]
+
+
+def test_unknowns_of_a_node_stay_together(spark):
+    """Two unknowns a node: the order of nodes, each node's parts in turn, dense under the diagonal of a node."""
+    m = np.kron(sample(9, 13, True), np.ones((2, 2))) + 9 * np.eye(18)
+    for small in (1, 6):
+        rows = graph.analyse(entries(spark, m), 18, dof=2, small=small).orderBy("new").collect()
+        old = [r["old"] for r in rows]
+        assert sorted(old) == list(range(1, 19)) and all(a % 2 and b == a + 1 for a, b in zip(old[::2], old[1::2]))
+        l = np.linalg.cholesky(m[np.ix_(np.array(old) - 1, np.array(old) - 1)] + 200 * np.eye(18))
+        for k, r in enumerate(rows):
+            assert set(np.flatnonzero(np.abs(l[:, k]) > 1e-12)[1:] + 1) - set(range(1, k + 2)) <= set(r["below"])
+            assert r["parent"] == (min(r["below"]) if r["below"] else 0) and r["rows"] == len(r["below"]) and r["new"] == k + 1
