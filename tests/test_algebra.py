@@ -394,3 +394,18 @@ def test_unknowns_of_a_node_stay_together(spark):
         for k, r in enumerate(rows):
             assert set(np.flatnonzero(np.abs(l[:, k]) > 1e-12)[1:] + 1) - set(range(1, k + 2)) <= set(r["below"])
             assert r["parent"] == (min(r["below"]) if r["below"] else 0) and r["rows"] == len(r["below"]) and r["new"] == k + 1
+
+
+def test_the_last_round_of_fill_levels_makes_a_pair_once(spark, monkeypatch):
+    """Levels equal plain elimination, ends dealt by stretches; the plan gathers no pairs of the last round."""
+    monkeypatch.setattr(graph, "STRETCH", 3)
+    m = np.random.default_rng(3).random((14, 14)) < 0.15
+    want = np.where(m | m.T, 0, 99)
+    for k in range(14):
+        inner = want[k + 1 :, k, None] + want[None, k, k + 1 :] + 1
+        want[k + 1 :, k + 1 :] = np.minimum(want[k + 1 :, k + 1 :], inner)
+    for level in (1, 2):
+        found = graph.fill_levels(entries(spark, m.astype(float)), level)
+        rows = found.collect()
+        assert len(rows) == (want <= level).sum() and all(want[r["i"] - 1, r["j"] - 1] == r["level"] for r in rows)
+        assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # was read from a table of all pairs
