@@ -410,6 +410,18 @@ def test_breadth_first_takes_neighbours_by_degree_and_index():
         assert found.tolist() == want[::-1]
 
 
+def test_pairs_are_dealt_before_they_are_made_distinct(spark):
+    """Rows are made distinct after they are dealt only (a task that read them held all of its pairs before), and mirrored last."""
+    m = sample(12, 3, False)
+    rows = entries(spark, m)
+    found = structure.graph_of(rows.union(rows))
+    got, off = sorted((r["i"], r["j"]) for r in found.collect()), (m != 0) | (m.T != 0)
+    assert got == [(i + 1, j + 1) for i in range(12) for j in range(12) if i != j and off[i, j]]
+    plan = structure.graph_of(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 200), REPARTITION_BY_NUM" in plan and plan.index("Generate") < plan.index("HashAggregate")
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")  # from the last step to the first
+
+
 def test_products_outside_the_pattern_are_not_made(spark):
     """A hub before its leaves: all pairs of leaves met at it, now a term for each diagonal entry of a leaf."""
     from cooforge.operators.incomplete import _terms
