@@ -74,6 +74,65 @@ def test_bpe_rows(spark, odd, empty, codec):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_bpe_shared_queue_with_any_ranks(seed):
+    """Ranks in any order, so that a merge may make a pair that goes first, and tokens that no merges reach."""
+    draw = random.Random(seed)
+    parts = {"".join(draw.choices("abc", k=draw.randint(2, 5))).encode() for _ in range(60)} | {bytes([b]) for b in range(256)}
+    ranks = dict(zip(sorted(parts), draw.sample(range(3000), len(parts))))
+    coder = bpe.BytePairCodec(ranks, r"\p{L}+|\s")
+
+    def plainly(piece):
+        if piece in ranks:
+            return [ranks[piece]]
+        now = [piece[k : k + 1] for k in range(len(piece))]
+        while found := [(ranks[a + b], k) for k, (a, b) in enumerate(zip(now, now[1:])) if a + b in ranks]:
+            k = min(found)[1]
+            now[k : k + 2] = [now[k] + now[k + 1]]
+        return [ranks[x] for x in now]
+
+    words = ["".join(draw.choices("abc", k=draw.choice([1, 2, 3, 5, 9, 40, 200]))) for _ in range(300)]
+    expected = [plainly(w.encode()) for w in words]
+    coded = [w.encode() for w in words if w.encode() not in ranks]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.merge_all(coded)] == [plainly(w) for w in coded]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_all(words)] == expected
+    assert coder.encode(" ".join(words)) == [r for k, ids in enumerate(expected) for r in ([ranks[b" "]] if k else []) + ids]
+    assert not any(coder.words) and not any(coder.buckets)
+
+
+def test_bpe_groups(codec, docs, monkeypatch):
+    """Small queues, small groups and a memory that is often cleared give the same ids."""
+    texts = [*docs.text[:60].fillna(""), "", "x" * 900, LONG[:9000], *(t or "" for _, t in ODD)]
+    expected = [codec.encode_packed(t) for t in texts]
+    monkeypatch.setattr(bpe, "GROUP_PARTS", 300)
+    monkeypatch.setattr(bpe, "SHARED_BYTES", 100)
+    assert list(bpe.BytePairCodec(codec.ranks, public_tokenizers.PATTERN, remembered=500).encode_all(texts)) == expected
+    assert [codec.decode(x) for x in expected] == [t.encode() for t in texts]
+
+
+def test_bpe_splits_alike(codec):
+    """Texts below 65536 are split by re; the classes are those of regex, character by character."""
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for k in range(0, len(every), 64):
+        text = "\n".join(f"{c}a{c}1 {c}{c} " for c in every[k : k + 64])
+        assert codec.pieces(text) == codec.split.findall(text)
+
+
+def test_bpe_cpu(docs, codec):
+    """A text whose pre-tokens are new takes less CPU time, whole, than their merges in a queue for each."""
+    text = "\n".join(docs.text.fillna(""))
+    pieces = [part.encode() for part in dict.fromkeys(codec.pieces(text))]
+    fresh = bpe.BytePairCodec(codec.ranks, public_tokenizers.PATTERN)
+
+    def spent(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    whole, merges = zip(*[(spent(lambda: (fresh.packed.clear(), fresh.encode_packed(text))), spent(lambda: list(map(fresh.merge, pieces)))) for _ in range(2)])
+    assert min(whole) < 0.85 * min(merges)
+
+
 # 6: packing
 
 
